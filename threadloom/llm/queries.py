@@ -5,9 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import language_id, quality_classifier, quality_rules
+from .common import held, table
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts and labels of the rows that may be learnt from. The labels' side is the smaller one; the join is on its key."""
+    seen = table(spark, sf_dir, "labels").filter(~held("doc_id", 3, 1) & F.col(label).isNotNull()).select("doc_id", label)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(seen, "doc_id")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, name = quality_classifier.score(docs, quality_classifier.fit(labelled(spark, sf_dir, "quality")))
+    return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~held("doc_id", 5, 0)))
+    out, name = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held("doc_id", 5, 0).alias("held_out"), f"{name}.lang_pred", f"{name}.score", f"{name}.ambiguous")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
