@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules
+from . import language_id, quality_classifier, quality_rules, toxicity
 from .common import held, table
 
 
@@ -30,6 +30,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 5, 0).alias("held_out"), f"{name}.lang_pred", f"{name}.score", f"{name}.ambiguous")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, name = toxicity.score(docs, toxicity.fit(labelled(spark, sf_dir, "toxic")))
+    return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10(table(spark, sf_dir, "documents"))
 
