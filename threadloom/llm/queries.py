@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, toxicity
+from . import language_id, quality_classifier, quality_rules, toxicity, webp
 from .common import held, table
 
 
@@ -17,6 +17,11 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").join(seen, "doc_id")
 
 
+def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = webp.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[F.col(f"{name}.{f.name}").alias(f.name) for f in webp.SCHEMA])
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, name = quality_classifier.score(docs, quality_classifier.fit(labelled(spark, sf_dir, "quality")))
