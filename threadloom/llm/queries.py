@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, toxicity, webp
+from . import language_id, mixing, packing, quality_classifier, quality_rules, sharding, toxicity, webp
 from .common import held, table
 
 
@@ -22,6 +22,10 @@ def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"{name}.{f.name}").alias(f.name) for f in webp.SCHEMA])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op2(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, name = quality_classifier.score(docs, quality_classifier.fit(labelled(spark, sf_dir, "quality")))
@@ -35,6 +39,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 5, 0).alias("held_out"), f"{name}.lang_pred", f"{name}.score", f"{name}.ambiguous")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op6(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op7(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, name = toxicity.score(docs, toxicity.fit(labelled(spark, sf_dir, "toxic")))
