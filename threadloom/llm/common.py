@@ -87,3 +87,8 @@ def over_texts(fn: Callable[[list], Sequence[Sequence]], schema: pa.Schema):
 def held(column, modulus: int, remainder: int):
     """crc32 of the id as text, modulo modulus, equals remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcast only where a count finds it small; df should be written (see keep) or cheap."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small
 
 WEIGHTS, SHARE, LIMIT = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Tilt of expected copies by size class (log2 of the words): short documents a little more, long ones a little less.
@@ -79,21 +79,21 @@ class Mix:
         words = [sum(w for _, w in by[s]) for s in names]
         targets = water_fill(words, [weights[k % len(weights)] for k in range(len(names))], share * sum(words), limit)
         plan = [(s, c, words[k], targets[k], e) for k, s in enumerate(names) for c, e in tilted(sorted(by[s]), targets[k], limit).items()]
-        self.plan = _small(sizes.sparkSession.createDataFrame(plan, f"p_source {dict(sizes.dtypes)[source]}, p_class int, source_size long, target double, expected double"))
+        self.plan = small(sizes.sparkSession.createDataFrame(plan, f"p_source {dict(sizes.dtypes)[source]}, p_class int, source_size long, target double, expected double"))
         df = keep(self._prepared(sizes))
         src = F.col(source)
         gaps = df.groupBy(src.alias("g")).agg((F.first("target") - F.sum(F.col("certain") * F.col(size))).alias("gap"))
         first = keep(self._crossing(_coarse(), df, gaps, "cross"))
-        self.first = _small(first.select(F.col("g").alias("g1"), F.col("cross").alias("cross1")))
+        self.first = small(first.select(F.col("g").alias("g1"), F.col("cross").alias("cross1")))
         inside = self._with_first(df).filter(_coarse() == F.col("cross1"))
         second = keep(self._crossing(F.col("step"), inside, first.select("g", "gap"), "cross"))
-        self.second = _small(second.select(F.col("g").alias("g2"), F.col("cross").alias("cross2")))
+        self.second = small(second.select(F.col("g").alias("g2"), F.col("cross").alias("cross2")))
         drawn = keep(self._drawn(df))
         left = drawn.groupBy(src.alias("g")).agg((F.first("target") - F.sum((F.col("certain") + F.col("drawn")) * F.col(size))).alias("left"))
         # the largest document not drawn, of those with a chance, that fits what is left
-        fits = drawn.join(_small(keep(left)), src.eqNullSafe(F.col("g"))).filter((F.col("drawn") == 0) & F.col("step").isNotNull() & (F.col(size) <= F.col("left") + 0.5))
+        fits = drawn.join(small(keep(left)), src.eqNullSafe(F.col("g"))).filter((F.col("drawn") == 0) & F.col("step").isNotNull() & (F.col(size) <= F.col("left") + 0.5))
         best = fits.groupBy(src.alias("g")).agg(F.max(F.struct(F.col(size).alias("z"), (-F.col("step")).alias("n"), F.col(key).alias("k"))).alias("b"))
-        self.best = _small(keep(best.select(F.col("g").alias("gb"), F.col("b.k").alias("kb"))))
+        self.best = small(keep(best.select(F.col("g").alias("gb"), F.col("b.k").alias("kb"))))
         self.drawn = drawn
 
     def _prepared(self, df: DataFrame) -> DataFrame:
@@ -144,11 +144,6 @@ def _coarse() -> Column:
     return F.floor(F.col("step") / STEPS).cast("long")
 
 
-def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df for a broadcast where it has few rows (a row per source), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with docs' columns."""
     parts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("k"), F.col(source).alias("s"), word_count(text).alias("size"))

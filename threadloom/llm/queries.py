@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_classifier, quality_rules, sharding, toxicity, webp
+from . import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity, webp
 from .common import held, table
 
 
@@ -53,6 +53,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op9(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op10(table(spark, sf_dir, "documents"))
 
