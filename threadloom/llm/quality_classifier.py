@@ -65,11 +65,6 @@ class Discriminant:
         # statistics are not independent of each other and far from normal in the tails: temper the evidence
         return 1 / (1 + np.exp(np.clip((ll[:, 0] - ll[:, 1]) / TEMPER, -700, 700)))
 
-    def predict(self, texts: list) -> list:
-        if not texts:
-            return [[]]
-        return [np.round(self.scores(np.array([statistics(t) for t in texts])), 12)]
-
 
 def solve(counts: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Discriminant:
     """counts[k], sums[k, i], products[k, i, j] of the classes 0 and 1."""
@@ -91,10 +86,16 @@ def solve(counts: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Discrim
 _STATS = pa.schema([("x", pa.list_(pa.float64()))])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality") -> Discriminant:
-    """From all rows whose label is 0 or 1. Spark returns one row of sums per class, whatever the corpus."""
-    x = labelled.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("k"), over_texts(lambda ts: [[statistics(t) for t in ts]], _STATS)(F.col(text)).alias("s"))
-    x = x.select("k", *[F.col("s.x")[i].alias(f"x{i}") for i in range(DIM)])
+def described(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """df and an array column with the statistics of each text; returns its name too."""
+    name = fresh(df, "statistics")
+    return df.withColumn(name, over_texts(lambda ts: [[statistics(t) for t in ts]], _STATS)(F.col(text))["x"]), name
+
+
+def fit(labelled: DataFrame, stats: str, label: str = "quality") -> Discriminant:
+    """From all rows whose label is 0 or 1; stats names the array of statistics. Spark returns one row of sums per
+    class, whatever the corpus."""
+    x = labelled.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("k"), *[F.col(stats)[i].alias(f"x{i}") for i in range(DIM)])
     pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
     got = x.groupBy("k").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]).collect()
     counts, sums, products = np.zeros(2), np.zeros((2, DIM)), np.zeros((2, DIM, DIM))
@@ -106,7 +107,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality") -> Disc
     return solve(counts, sums, products)
 
 
-def score(df: DataFrame, model: Discriminant, text: str = "text") -> tuple[DataFrame, str]:
-    """df and a double column with the probability of quality; returns its name too."""
+def score(df: DataFrame, model: Discriminant, stats: str) -> tuple[DataFrame, str]:
+    """df and a double column with the probability of quality, from the array of statistics; returns its name too."""
     name = fresh(df, "quality_score")
-    return df.withColumn(name, over_texts(model.predict, pa.schema([("score", pa.float64())]))(F.col(text))["score"]), name
+
+    def call(x: pa.Array) -> pa.Array:
+        rows = np.asarray(x.flatten()).reshape(-1, DIM)
+        return pa.array(np.round(model.scores(rows), 12), pa.float64())
+
+    call.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return df.withColumn(name, F.arrow_udf(call, "double")(F.col(stats))), name

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity, webp
-from .common import held, table
+from .common import held, keep, table
+
+
+def seen_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labels of the rows that may be learnt from."""
+    return table(spark, sf_dir, "labels").filter(~held("doc_id", 3, 1) & F.col(label).isNotNull()).select("doc_id", label)
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
@@ -27,8 +32,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, name = quality_classifier.score(docs, quality_classifier.fit(labelled(spark, sf_dir, "quality")))
+    """Texts are read once; fitting and scoring work on the few statistics of each."""
+    docs, stats = quality_classifier.described(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = keep(docs.select("doc_id", stats))
+    model = quality_classifier.fit(docs.join(seen_labels(spark, sf_dir, "quality"), "doc_id"), stats)
+    out, name = quality_classifier.score(docs, model, stats)
     return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
