@@ -16,12 +16,6 @@ def seen_labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter(~held("doc_id", 3, 1) & F.col(label).isNotNull()).select("doc_id", label)
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts and labels of the rows that may be learnt from. The labels' side is the smaller one; the join is on its key."""
-    seen = table(spark, sf_dir, "labels").filter(~held("doc_id", 3, 1) & F.col(label).isNotNull()).select("doc_id", label)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(seen, "doc_id")
-
-
 def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = webp.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[F.col(f"{name}.{f.name}").alias(f.name) for f in webp.SCHEMA])
@@ -57,7 +51,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, name = toxicity.score(docs, toxicity.fit(labelled(spark, sf_dir, "toxic")))
+    out, name = toxicity.score(docs, toxicity.fit(docs, seen_labels(spark, sf_dir, "toxic")))
     return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

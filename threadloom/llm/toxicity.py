@@ -154,13 +154,20 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Model(emb @ soft * WINDOW, float(bias))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """From a bounded sample of the rows labelled 0 or 1."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-    counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
-    u = F.pmod(F.xxhash64(F.lit("toxicity sample"), "k"), F.lit(1 << 20)) / (1 << 20)
-    limit = F.when(F.col("y") == 1, F.lit(min(1.0, max_toxic / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, max_clean / max(1, counts.get(0, 0)))))
-    got = sorted((r["k"] or "", r["t"], r["y"]) for r in rows.filter(u < limit).collect())
+def sample(labels: DataFrame, label: str = "toxic", key: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
+    """About max_toxic and max_clean of the rows labelled 1 and 0, by a hash of the key: a bounded set."""
+    rows = labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    u = F.pmod(F.xxhash64(F.lit("toxicity sample"), F.col(key).cast("string")), F.lit(1 << 20)) / (1 << 20)
+    limit = F.when(F.col(label) == 1, F.lit(min(1.0, max_toxic / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, max_clean / max(1, counts.get(0, 0)))))
+    return rows.filter(u < limit)
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    """From the texts of a bounded sample of labels, which is small enough to send to every executor."""
+    picked = sample(labels, label, key, max_toxic, max_clean)
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), key).select(F.col(key).cast("string").alias("k"), "t", F.col(label).alias("y"))
+    got = sorted((r["k"] or "", r["t"], r["y"]) for r in rows.collect())
     return train([r[1] for r in got], [r[2] for r in got])
 
 
