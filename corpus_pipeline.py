@@ -1,11 +1,15 @@
-"""The corpus pipeline: documents through five stages, each written and read again by the next."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
+
+quality rules -> language ID -> n-gram Jaccard join -> mixing -> packing. Each stage calls its operator on all rows that
+the stage before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import common, language_id, quality_rules
+from threadloom.llm import common, language_id, mixing, ngram_join, packing, quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,12 +19,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with an ambiguous one, go."""
+    """Documents without a language, or with an ambiguous one, go. The classifiers learn from this stage's labelled rows."""
     common.ready(spark)
     return language_id.known_language(docs, F.lit(True))
 
 
-STAGES = [("quality_rules", quality), ("language_id", language)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the least id stays."""
+    common.ready(spark)
+    return ngram_join.distinct_documents(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those that it does not take go."""
+    common.ready(spark)
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mix in sequences. A document taken twice has its pieces twice."""
+    common.ready(spark)
+    return packing.op6(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("ngram_join", near_copies), ("mixing", mixed), ("packing", packed)]
+
+#: No stage of trained or sampled decisions can be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity, webp
+from . import language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity, webp
 from .common import held, keep, table
 
 
@@ -34,6 +34,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), F.col(name).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.filter(~held("doc_id", 5, 0)))
@@ -68,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_scan.sql()}
