@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lineage import cut
 
 #: Steps that a walk takes at most.
 WALK = 10_000
@@ -53,7 +54,7 @@ def roots(messages: DataFrame) -> DataFrame:
         nxt = jump.select(F.col("id").alias("j"), F.col("to").alias("j_to"), F.col("top").alias("j_top"))
         # null j: the parent is not in the log
         joined = jump.join(nxt, F.col("to") == F.col("j"), "left")
-        jump = joined.select("id", F.coalesce(F.when(~F.col("top"), F.col("j_to")), F.col("to")).alias("to"), (F.col("top") | F.coalesce("j_top", F.lit(True))).alias("top")).checkpoint()
+        jump = cut(joined.select("id", F.coalesce(F.when(~F.col("top"), F.col("j_to")), F.col("to")).alias("to"), (F.col("top") | F.coalesce("j_top", F.lit(True))).alias("top")))
         if jump.filter(~F.col("top")).isEmpty():
             break
     rest = jump.filter(~F.col("top")).select("id")
@@ -63,7 +64,7 @@ def roots(messages: DataFrame) -> DataFrame:
         parent = base.select(F.col("id").alias("b"), "to")
         ended = None
         for _ in range(WALK):
-            step = walk.join(parent, F.col("cur") == F.col("b")).select("id", F.col("to").alias("cur"), "path").checkpoint()
+            step = cut(walk.join(parent, F.col("cur") == F.col("b")).select("id", F.col("to").alias("cur"), "path"))
             again = F.array_contains("path", F.col("cur"))
             stop = step.filter(again).select("id", F.col("cur").alias("root"))
             ended = stop if ended is None else ended.unionByName(stop)

@@ -677,7 +677,7 @@ def trg_overflow(spark, d):
     return progress.overflow_tasks(store.oversized(A.files(spark, d)))
 
 
-TASKS = "tsk AS (SELECT event_id AS seq, CASE event_type WHEN 'purchase' THEN 100 WHEN 'click' THEN 50 ELSE 20 END AS priority, CAST(strftime(ts, '%d') AS BIGINT) AS created_batch, user_id || ':' || event_type AS dedup_key, length(props) * 10 AS tokens FROM events)"
+TASKS = "tsk AS (SELECT event_id AS seq, CAST(CASE event_type WHEN 'purchase' THEN 100 WHEN 'click' THEN 50 ELSE 20 END AS BIGINT) AS priority, CAST(strftime(ts, '%d') AS BIGINT) AS created_batch, user_id || ':' || event_type AS dedup_key, length(props) * 10 AS tokens FROM events)"
 
 
 def _tasks(spark, d) -> DataFrame:
