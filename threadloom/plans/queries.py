@@ -339,22 +339,18 @@ def _costs(spark, d) -> DataFrame:
     return A.read(spark, d, "documents").groupBy(F.col("lang").alias("per"), F.col("source").alias("section")).agg(F.sum(X.tokens("text")).alias("cost"))
 
 
-@query(
-    """, ord AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY per) AS n FROM cst WINDOW w AS (PARTITION BY per ORDER BY cost, section)),
- fill AS (SELECT per, section, k, n, cost, CAST(50000 // n AS BIGINT) AS fair, CASE WHEN cost > 50000 // n THEN 50000 // n END AS fixed, CASE WHEN cost > 50000 // n THEN 50000 // n ELSE cost END AS share, CAST(50000 AS BIGINT) AS room FROM ord WHERE k = 1
-  UNION ALL SELECT o.per, o.section, o.k, o.n, o.cost, (f.room - f.share) // (o.n - o.k + 1),
-   CASE WHEN f.fixed IS NOT NULL THEN f.fixed WHEN o.cost > (f.room - f.share) // (o.n - o.k + 1) THEN (f.room - f.share) // (o.n - o.k + 1) END,
-   CASE WHEN f.fixed IS NOT NULL THEN f.fixed WHEN o.cost > (f.room - f.share) // (o.n - o.k + 1) THEN (f.room - f.share) // (o.n - o.k + 1) ELSE o.cost END, f.room - f.share
-  FROM ord o JOIN fill f ON o.per = f.per AND o.k = f.k + 1)
- SELECT per, section, CAST(share AS BIGINT) AS share FROM fill""".lstrip(", "),
-    A.FILES,
-    COSTS,
-)
-def bud_alloc(spark, d):
-    return budget.allocate(_costs(spark, d), F.lit(50000), ["per"]).select("per", "section", "share")
+def _fill(total: int) -> str:
+    """Max-min shares one row after the other: what is left over what are left, until one needs more."""
+    fair = "(f.room - f.share) // (o.n - o.k + 1)"
+    return f"""ord AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY per) AS n FROM cst WINDOW w AS (PARTITION BY per ORDER BY cost, section)),
+ fill AS (SELECT per, section, k, n, cost, CASE WHEN cost > {total} // n THEN {total} // n END AS fixed, CASE WHEN cost > {total} // n THEN {total} // n ELSE cost END AS share, CAST({total} AS BIGINT) AS room FROM ord WHERE k = 1
+  UNION ALL SELECT o.per, o.section, o.k, o.n, o.cost, CASE WHEN f.fixed IS NOT NULL THEN f.fixed WHEN o.cost > {fair} THEN {fair} END,
+   CASE WHEN f.fixed IS NOT NULL THEN f.fixed WHEN o.cost > {fair} THEN {fair} ELSE o.cost END, f.room - f.share FROM ord o JOIN fill f ON o.per = f.per AND o.k = f.k + 1)"""
 
 
-SQL["bud_alloc"] = SQL["bud_alloc"].replace(COSTS + " ord", COSTS + ", ord")
+@query("SELECT per, section, CAST(share AS BIGINT) AS share FROM fill", A.FILES, COSTS, _fill(50_000))
+def bud_alloc(spark, d):
+    return budget.allocate(_costs(spark, d), F.lit(50000), ["per"]).select("per", "section", "share")
 
 
 @query("SELECT per, section, cost FROM cst", COSTS)
@@ -394,8 +390,14 @@ def pack(spark, d):
 
 
 @query(
-    """, fit AS (SELECT p.per, p.section, p.share FROM shr p)
- SELECT 1""".lstrip(", "),
+    """SELECT per, section, any_value(share) AS share, sha256('# ' || section || chr(10) || chr(10) || CASE WHEN count(*) FILTER (NOT kept) > 0 THEN '(' || count(*) FILTER (NOT kept) || ' older left out)' || chr(10) || chr(10) ELSE '' END
+ || string_agg(body, chr(10) || chr(10) ORDER BY updated, doc_id) FILTER (kept)) AS digest FROM kpt GROUP BY per, section""",
+    A.FILES,
+    COSTS,
+    _fill(20_000),
+    f"blk AS (SELECT lang AS per, source AS section, doc_id, updated, body, {TOK.format('body')} AS cost FROM fil WHERE trim(body) <> '')",
+    "run AS (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS k FROM blk WINDOW w AS (PARTITION BY per, section ORDER BY updated DESC, doc_id DESC ROWS UNBOUNDED PRECEDING))",
+    "kpt AS (SELECT r.*, CAST(f.share AS BIGINT) AS share, k2.kept FROM run r JOIN fill f ON r.per = f.per AND r.section = f.section, LATERAL (SELECT r.k = 1 OR greatest(1, length('# ' || r.section) // 4) + r.running <= f.share AS kept) k2)",
 )
 def assemble(spark, d):
     from .report import assembled
@@ -404,9 +406,6 @@ def assemble(spark, d):
     return assembled(f, 20000).select("per", "section", "share", F.sha2("text", 256).alias("digest"))
 
 
-del SQL["assemble"]
-
-
 @query("SELECT doc_id, CAST(unnest(range(len(b))) AS BIGINT) AS position, unnest(b) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents)")
 def vw_world(spark, d):
     return A.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text")).withColumn("position", F.col("position").cast("long"))
