@@ -42,7 +42,11 @@ CLASS_GROWTH, SPARE, CUTS = 1.5, 0.1, 6
 TILE = 2048
 #: Entries of a tree node.
 FAN = 16
-MEMORY = 500_000
+#: Pairs per document and tree that first rounds verify; the last round verifies all that are left.
+ROUNDS = (8,)
+#: Groups of a point at most.
+GROUPS = 512
+MEMORY = 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -117,16 +121,20 @@ def group_keys(g: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def point(g: np.ndarray) -> np.ndarray:
-    """Counts per group of hashes; the number of groups is a power of 2 near an eighth of the set, so that points fold."""
-    groups = 1 << min(12, max(4, (len(g) // 8).bit_length()))
-    return np.minimum(np.bincount((g & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2")
+def point(g: np.ndarray) -> bytes:
+    """Counts per group of hashes, stored as bytes where none is above 255 (else with four bytes each, after a mark).
 
+    The number of groups is a power of 2 near half of the set (at most GROUPS), so that points fold; finer ones bound more sharply."""
+    groups = min(GROUPS, 1 << max(4, (len(g) // 2).bit_length()))
+    counts = np.bincount((g & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"wide" + counts.astype("<u4").tobytes()
 
-def fold(points: list[np.ndarray]) -> np.ndarray:
+
+def fold(points: list[bytes]) -> np.ndarray:
     """Points over the fewest groups among them, as rows."""
-    least = min(map(len, points))
-    return np.stack([p if len(p) == least else p.reshape(-1, least).sum(0) for p in points]).astype(np.int32)
+    rows = [np.frombuffer(p[4:], "<u4") if p[:4] == b"wide" else np.frombuffer(p, np.uint8) for p in points]
+    least = min(map(len, rows))
+    return np.stack([p if len(p) == least else p.reshape(-1, least).sum(0) for p in rows]).astype(np.int32)
 
 
 def least_overlap(total):
@@ -163,8 +171,10 @@ class CountTree:
             ok[some] = np.minimum(high[a[some]], high[b[some]]).sum(1) >= least_overlap(low_n[a[some]] + low_n[b[some]])
         return ok
 
-    def pairs(self) -> np.ndarray:
-        """Pairs of rows (as given) that may link across components; shape (k, 2)."""
+    def pairs(self, most: int | None = None) -> tuple[np.ndarray, bool]:
+        """Pairs of rows (as given) that may link across components, shape (k, 2); and whether these are all.
+
+        most: for each row no more than so many pairs, those of the highest bound on their similarity."""
         out = []
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -182,7 +192,21 @@ class CountTree:
                 fine = (x < below) & (y < below) & ((x < y) if level == 0 else (x <= y))
                 if fine.any():
                     stack.append((level - 1, x[fine], y[fine]))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        if most is None or len(found) <= most:
+            return found, True
+        back = np.empty_like(self.order)
+        back[self.order] = np.arange(len(back))
+        a, b = back[found[:, 0]], back[found[:, 1]]
+        bound = np.concatenate([np.minimum(self.points[a[lo : lo + 8192]], self.points[b[lo : lo + 8192]]).sum(1) for lo in range(0, len(a), 8192)])
+        score = -bound / (self.sizes[a] + self.sizes[b] - bound)
+        keep_ = np.zeros(len(found), bool)
+        for side in (a, b):
+            order = np.lexsort((score, side))
+            first = np.concatenate([[0], np.flatnonzero(np.diff(side[order])) + 1])
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            keep_[order[rank < most]] = True
+        return found[keep_], bool(keep_.all())
 
 
 def linked(a: bytes, b: bytes) -> bool:
@@ -201,14 +225,14 @@ def _describe(texts: list) -> list:
     if len(_seen) > 64:
         for k in list(_seen)[:-8]:
             del _seen[k]
-    cols: list[list] = [[], [], [], [], []]
+    cols: list[list] = [[] for _ in _DESCRIBED]
     for t in texts:
         g = shingles(t)
         h1 = int(_mix(g, 11).sum().view(np.int64)) if len(g) else 0
         h2 = int(_mix(g, 12).sum().view(np.int64)) if len(g) else 0
         again = (h1, h2) in seen or not len(g)
         seen.add((h1, h2))
-        for c, v in zip(cols, (len(g), h1, h2, None if again else group_keys(g), None if again else point(g).tobytes())):
+        for c, v in zip(cols, (len(g), h1, h2, None if again else group_keys(g), None if again else point(g))):
             c.append(v)
     return cols
 
@@ -251,11 +275,13 @@ def components(edges: DataFrame) -> DataFrame:
     return star.unionByName(star.select(F.col("component").alias("id"), "component").distinct())
 
 
-_PAIR = "a long, b long"
+_PAIR = "a long, b long, whole boolean"
+
 
+def _search(rows: DataFrame, most: int | None) -> DataFrame:
+    """Candidate pairs of nodes, from rows (key, i, j, mine, node, n, point, component), a tree per (key, i, j).
 
-def _search(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes, from rows (key, i, j, mine, node, n, point, component), a tree per (key, i, j)."""
+    most: pairs per node and tree, the likeliest; whole says whether the tree had no more."""
 
     def groups(batches):
         """Whole groups, from batches sorted by group."""
@@ -277,12 +303,12 @@ def _search(rows: DataFrame) -> DataFrame:
     def call(batches):
         for t in groups(batches):
             node, n, comp, mine = (t.column(c).to_numpy() for c in ("node", "n", "component", "mine"))
-            points = fold([np.frombuffer(p, "<u2") for p in t.column("point").to_pylist()])
-            found = CountTree(points, n, comp).pairs()
+            points = fold(t.column("point").to_pylist())
+            found, whole = CountTree(points, n, comp).pairs(most)
             if t.column("i")[0].as_py() != t.column("j")[0].as_py():
                 found = found[mine[found[:, 0]] != mine[found[:, 1]]]
             a, b = node[found[:, 0]], node[found[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(call, _PAIR)
 
@@ -310,38 +336,56 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     points = d.filter("point is not null").select("id", "point").join(node, "id").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"))
     points = keep(points)
     star = keep(star)
-    bounded = star.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
-    bounded = bounded.filter((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
+    bounded = _bounded(star, points)
+    links, tested = _verified(bounded, named), star
+    # keys whose documents are in several components still: trees over them. Of keys with the same documents one stays.
+    def placed(rows: DataFrame) -> DataFrame:
+        c = components(links).withColumnRenamed("id", "c_node")
+        return rows.join(c, F.col("node") == F.col("c_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("c_node")
+
+    open_ = F.min("component").over(w) < F.max("component").over(w)
+    rows = placed(met.select("key", "id").join(node, "id").select("key", "node", "n").distinct())
+    rows = rows.withColumn("open", open_).filter("open").withColumn("same", F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(w)).withColumn("size", F.count("*").over(w)).select("key", "node", "n", "same", "size")
+    rows = keep(rows)
+    one = rows.groupBy("same", "size").agg(F.min("key").alias("key")).select("key")
+    rows = keep(rows.join(one, "key", "left_semi").select("key", "node", "n", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+    # each round verifies the likeliest pairs of each document, which mostly connects what can be connected; the last
+    # round leaves none out
+    for most in (*ROUNDS, None):
+        now = placed(rows).withColumn("open", open_).filter("open").drop("open")
+        tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        now = now.withColumn("mine", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        now = now.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component").join(points.select("node", "point"), "node")
+        found = keep(_search(now, most).groupBy("a", "b").agg(F.min("whole").alias("whole")))
+        new = keep(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = keep(links.unionByName(_verified(new, named)))
+            tested = keep(tested.unionByName(new))
+        if found.filter("not whole").isEmpty():
+            break
+    return _result(d, node, components(links))
+
+
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs that sizes and the sum of the smaller coordinates let link."""
+    both = pairs.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
+    both = both.filter((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
 
     def may(pa_: pa.Array, pb_: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         out = []
         for x, y, m, n in zip(pa_.to_pylist(), pb_.to_pylist(), na.to_pylist(), nb.to_pylist()):
-            p = fold([np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")])
+            p = fold([x, y])
             out.append(bool(np.minimum(p[0], p[1]).sum() >= least_overlap(m + n)))
         return pa.array(out, pa.bool_())
 
     may.__annotations__ = {"pa_": pa.Array, "pb_": pa.Array, "na": pa.Array, "nb": pa.Array, "return": pa.Array}
-    bounded = bounded.withColumn("may", F.arrow_udf(may, "boolean").asNondeterministic()("pa", "pb", "na", "nb")).filter("may").select("a", "b")
-    links = _verified(bounded, named)
-    first = keep(components(links))
-    # keys whose documents are in several components still: trees over them
-    placed = node.join(first.withColumnRenamed("id", "node"), "node", "left").select("id", "node", "n", F.coalesce("component", "node").alias("component"))
-    rows = met.select("key", "id").join(placed, "id").select("key", "node", "n", "component").distinct()
-    open_ = F.min("component").over(w) < F.max("component").over(w)
-    rows = keep(rows.withColumn("open", open_).withColumn("tiles", F.ceil(F.count("*").over(w) / TILE).cast("int")).filter("open").drop("open"))
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    rows = rows.withColumn("mine", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component").join(points.select("node", "point"), "node")
-    found = _search(rows).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(found, named)
-    return _result(d, node, components(links.unionByName(more)))
+    return both.withColumn("may", F.arrow_udf(may, "boolean").asNondeterministic()("pa", "pb", "na", "nb")).filter("may").select("a", "b")
 
 
 def _result(d: DataFrame, node: DataFrame, comp: DataFrame | None) -> DataFrame:
     of = node.groupBy("id").agg(F.min("node").alias("node"))
     if comp is not None:
         of = of.join(comp.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-        # an id whose rows have several sets joins them
     else:
         of = of.select("id", F.col("node").alias("component"))
     return d.select("id", "n").join(of, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
