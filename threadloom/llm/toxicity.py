@@ -34,6 +34,8 @@ WINDOW = 32
 BUCKETS = 1 << 17
 DIM = 8
 EPOCHS = 10
+#: Windows per step at most.
+BATCH = 512
 #: Adagrad: rate, weight decay, first squared gradient (the larger, the less a rare n-gram moves).
 RATE, DECAY, START = 0.8, 2e-5, 1e-1
 #: Log-odds of a window without evidence, at the start.
@@ -41,7 +43,7 @@ BIAS = -2.0
 #: Texts that an n-gram must occur in (fewer where there are few texts).
 LEAST_TEXTS = 6
 #: Words whose number a Python worker remembers.
-MEMORY = 400_000
+MEMORY = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -86,7 +88,7 @@ class Model:
         return [[self.score(t) for t in texts]]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 0) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 0) -> Model:
     """Windows carry their text's label; after the first epochs, windows of toxic texts that the model finds clean
     are told apart: of those, only the text's most toxic windows keep the label (the others leave training)."""
     share = (sum(labels) + 1) / (len(labels) + 2)
@@ -119,11 +121,13 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     bias, acc, acc_soft, acc_bias = BIAS, np.full(BUCKETS, START), 1.0, 1.0
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     active = np.ones(len(y), bool)
+    epochs = epochs or (EPOCHS if len(y) > 20_000 else 3 * EPOCHS)
     for epoch in range(epochs):
         order = rng.permutation(np.flatnonzero(active))
         seen = np.zeros(len(y))
-        for lo in range(0, len(order), 512):
-            batch = order[lo : lo + 512]
+        size_of = min(BATCH, max(16, len(order) // 40))  # small samples need steps, too
+        for lo in range(0, len(order), size_of):
+            batch = order[lo : lo + size_of]
             ids = np.concatenate([windows[i] for i in batch])
             if not len(ids):
                 continue
@@ -139,15 +143,15 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             seen[batch] = logit
             err = (p - y[batch]) * weight[batch]
             grad_h = np.bincount(pos, err[row], len(used)) * inv[used]
-            grad_b = np.bincount(np.searchsorted(ub := np.unique(g), g), np.repeat(grad_h, size), len(ub)) / len(batch) * 16 * known[ub]
+            grad_b = np.bincount(np.searchsorted(ub := np.unique(g), g), np.repeat(grad_h, size), len(ub)) / 32 * known[ub]
             grad_soft = hidden.T @ err / len(batch)
             acc[ub] += grad_b**2
             emb[ub] -= RATE * (grad_b / np.sqrt(acc[ub]))[:, None] * soft[None] / np.linalg.norm(soft) + DECAY * emb[ub]
             acc_soft += (grad_soft**2).sum()
             soft -= 0.05 * grad_soft / np.sqrt(acc_soft)
             acc_bias += err.mean() ** 2
-            bias -= 0.3 * err.mean() / np.sqrt(acc_bias)
-        if epoch >= 1:
+            bias = min(BIAS / 2, bias - 0.3 * err.mean() / np.sqrt(acc_bias))  # a window without evidence stays clean
+        if epoch >= epochs // 8:
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, owner[active], seen[active])
             active &= ~((y == 1) & (seen < np.minimum(0, top[owner])))
