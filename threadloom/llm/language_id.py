@@ -30,7 +30,7 @@ BUCKETS = (256, 1024, 4096)
 WIDTH = sum(BUCKETS)
 RIDGE = 1e-3
 #: Lead (in probability) below which a prediction is flagged ambiguous.
-AMBIGUOUS = 0.2
+AMBIGUOUS = 0.05
 
 _LETTER = re.compile(r"[^\W\d_]")
 # ASCII non-letters become a space; bytes of other letters stay

@@ -7,7 +7,7 @@ A document's expected copies are its source's target over its source's words, ti
 capped at the limit. The whole part is certain: that many copies are taken. The rest is its inclusion probability p:
 documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of the id, and the first ones are taken until the source
 has its words. The prefix is found by counting words over ever finer steps of the rank, so no source is ever sorted in
-one task; the last gap is filled by the largest document, not taken yet, that fits.
+one task; the last gap is filled by a few documents, not taken yet, of the nearest size.
 
 Cases: a text without words has size 0 and is never taken; null and empty sources are sources of their own; rows with
 equal ids have equal ranks, and ties fall by size; a source of no words has target 0; an empty table, empty result.
@@ -27,6 +27,8 @@ TILT = 0.05
 #: Steps of the rank: two levels of this many.
 STEPS = 4096
 SEED = "mixing 1"
+#: Documents per source that fill the last gap.
+FILL = 4
 
 
 def water_fill(words: list[int], weights: list[float], total: float, limit: float = LIMIT) -> list[float]:
@@ -89,11 +91,18 @@ class Mix:
         second = keep(self._crossing(F.col("step"), inside, first.select("g", "gap"), "cross"))
         self.second = small(second.select(F.col("g").alias("g2"), F.col("cross").alias("cross2")))
         drawn = keep(self._drawn(df))
-        left = drawn.groupBy(src.alias("g")).agg((F.first("target") - F.sum((F.col("certain") + F.col("drawn")) * F.col(size))).alias("left"))
-        # the largest document not drawn, of those with a chance, that fits what is left
-        fits = drawn.join(small(keep(left)), src.eqNullSafe(F.col("g"))).filter((F.col("drawn") == 0) & F.col("step").isNotNull() & (F.col(size) <= F.col("left") + 0.5))
-        best = fits.groupBy(src.alias("g")).agg(F.max(F.struct(F.col(size).alias("z"), (-F.col("step")).alias("n"), F.col(key).alias("k"))).alias("b"))
-        self.best = small(keep(best.select(F.col("g").alias("gb"), F.col("b.k").alias("kb"))))
+        # what is left is filled by single documents not drawn, of those with a chance: each time the one nearest in size
+        self.best = None
+        for _ in range(FILL):
+            now = self._extra(drawn)
+            left = now.groupBy(src.alias("g")).agg((F.first("target") - F.sum((F.col("certain") + F.col("drawn") + F.col("extra")) * F.col(size))).alias("left"))
+            off = F.abs(F.col("left") - F.col(size))
+            fits = now.join(small(keep(left)), src.eqNullSafe(F.col("g"))).filter((F.col("drawn") + F.col("extra") == 0) & F.col("step").isNotNull() & (off < F.col("left")))
+            one = fits.groupBy(src.alias("gb")).agg(F.max(F.struct((-off).alias("o"), (-F.col("step")).alias("n"), F.col(key).alias("k"))).alias("b")).select("gb", F.col("b.k").alias("kb"))
+            one = keep(one)
+            if one.isEmpty():
+                break
+            self.best = small(one if self.best is None else keep(self.best.unionByName(one)))
         self.drawn = drawn
 
     def _prepared(self, df: DataFrame) -> DataFrame:
@@ -123,9 +132,14 @@ class Mix:
         inside = F.when(F.col("cross1").isNull(), True).when(_coarse() != F.col("cross1"), _coarse() < F.col("cross1")).when(F.col("cross2").isNull(), True).otherwise(F.col("step") < F.col("cross2"))
         return df.withColumn("drawn", (F.col("step").isNotNull() & inside).cast("int")).drop("cross1", "g2", "cross2")
 
-    def _final(self, drawn: DataFrame) -> DataFrame:
+    def _extra(self, drawn: DataFrame) -> DataFrame:
+        if self.best is None:
+            return drawn.withColumn("extra", F.lit(0))
         out = drawn.join(self.best, F.col(self.source).eqNullSafe(F.col("gb")) & (F.col(self.key) == F.col("kb")), "left")
-        return out.withColumn("copies", F.col("certain") + F.greatest(F.col("drawn"), F.col("kb").isNotNull().cast("int"))).drop("gb", "kb", "certain", "step", "drawn")
+        return out.withColumn("extra", (F.col("kb").isNotNull() & (F.col("drawn") == 0) & F.col("step").isNotNull()).cast("int")).drop("gb", "kb")
+
+    def _final(self, drawn: DataFrame) -> DataFrame:
+        return self._extra(drawn).withColumn("copies", F.col("certain") + F.col("drawn") + F.col("extra")).drop("certain", "step", "drawn", "extra")
 
     def taken(self) -> DataFrame:
         """The fitted rows with source_size, target and copies."""
