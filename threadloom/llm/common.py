@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch at most; with long texts the usual 10 000 rows would be a large message.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> None:
@@ -45,8 +46,7 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='threadloom-')}")
     return f"{base.rstrip('/')}/threadloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -92,3 +92,10 @@ def held(column, modulus: int, remainder: int):
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked for broadcast only where a count finds it small; df should be written (see keep) or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder (see keep). For the end of a job: results that are not
+    written elsewhere yet may still read from it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark).rpartition("/")[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
