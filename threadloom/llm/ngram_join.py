@@ -44,6 +44,8 @@ TILE = 2048
 FAN = 16
 #: Pairs per document and tree that first rounds verify; the last round verifies all that are left.
 ROUNDS = (8,)
+#: Copies of a set from which it is sent to its rows.
+COPIES = 1000
 #: Groups of a point at most.
 GROUPS = 512
 MEMORY = 200_000
@@ -319,8 +321,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     d = named.select("id", over_texts(_describe, _DESCRIBED)(F.col("text")).alias("d")).select("id", "d.*")
     d = keep(d)
     # equal sets are one node: the least id
-    node = d.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.min("n").alias("n"))
-    node = keep(d.filter("n > 0 and id is not null").select("id", "h1", "h2").join(node, ["h1", "h2"]).select("id", "node", "n"))
+    full = d.filter("n > 0 and id is not null").select("id", "h1", "h2")
+    sets = keep(d.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.count("*").alias("copies")))
+    # sets with very many copies would fill one task of a join; they are few, so they are sent to the rows instead
+    often = small(sets.filter(F.col("copies") > COPIES).drop("copies"))
+    node = full.join(often, ["h1", "h2"]).unionByName(full.join(often, ["h1", "h2"], "left_anti").join(sets.filter(F.col("copies") <= COPIES).drop("copies"), ["h1", "h2"]))
+    node = keep(node.select("id", "node", "n"))
     # keys that two documents share
     met = d.filter("keys is not null and id is not null").select("id", F.explode("keys").alias("key"))
     w = W.partitionBy("key")
