@@ -35,7 +35,8 @@ def lookups(messages: DataFrame, pattern: str, group: int, table: DataFrame, key
     hit = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))))
     hits = messages.select("id", hit.alias("hit"))
     on = F.lower("hit") if lower else F.col("hit").try_cast(dict(table.dtypes)[key])
-    met = hits.join(table.select(F.col(key).alias("k"), F.col(value).alias("v")), on == F.col("k"))
+    one = table.groupBy(F.col(key).alias("k")).agg(F.max(value).alias("v"))  # a map holds a key once
+    met = hits.join(one, on == F.col("k"))
     maps = met.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("k", "v"))).alias("found")).withColumnRenamed("id", "of")
     empty = F.map_from_arrays(F.array().cast(f"array<{dict(table.dtypes)[key]}>"), F.array().cast("array<string>"))
     return messages.join(maps, F.col("id") == F.col("of"), "left").drop("of").withColumn("found", F.coalesce("found", empty))
