@@ -10,6 +10,7 @@ Format: public WebP lossless bitstream specification.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import zlib
@@ -26,7 +27,9 @@ WIDTH, MAX_ROWS = 192, 16_383
 #: Longest code the encoder uses, and the bits that one look-up of the decoder sees at least.
 MAX_CODE = 11
 #: Pixels from which look-ups of several symbols pay.
-MANY = 2500
+MANY = 600
+#: Bits for which look-ups are made at once.
+SEGMENT = 1 << 16
 
 # Fixed values of the format: the order in which lengths of the code-length code are stored.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -50,6 +53,7 @@ class Bits:
         b = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint64)
         n = len(b) - 4
         w = b[:n] | b[1 : n + 1] << np.uint64(8) | b[2 : n + 2] << np.uint64(16) | b[3 : n + 3] << np.uint64(24) | b[4 : n + 4] << np.uint64(32)
+        self.array = w.view(np.int64)
         self.words, self.at, self.end = w.tolist(), 0, 8 * len(data)
 
     def read(self, n: int) -> int:
@@ -108,6 +112,11 @@ class Code:
         return (1 << self.bits) - 1
 
 
+@functools.lru_cache(maxsize=1024)
+def _small_code(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, np.int64))
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
@@ -120,7 +129,7 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     small = np.zeros(19, np.int64)
     for k in range(4 + bits.read(4)):
         small[CODE_ORDER[k]] = bits.read(3)
-    code = Code(small)
+    code = _small_code(small.tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     out: list[int] = []
     last, table, mask = 8, code.table, code.mask
@@ -157,39 +166,50 @@ def _distance(code: int, width: int) -> int:
 
 def _greens(bits: Bits, code: Code, distances: Code, width: int, n: int) -> bytearray:
     """The green samples of n pixels whose other channels take no bits: several literals per look-up."""
-    table, mask, many = code.table, code.mask, 1
+    many = 1
     if n >= MANY:
-        size = max(code.bits, 13 if n < 20_000 else 15)
-        one = np.tile(code.array, 1 << (size - code.bits))
-        index, length, sym, count = np.arange(1 << size), one & 15, one >> 4, np.ones(1 << size, np.int64)
-        packed, used = np.where(sym < 256, sym, 0), length.copy()
-        open_ = sym < 256
-        for k in (1, 2, 3):
-            nxt = one[index >> used & ((1 << size) - 1)]
-            open_ = open_ & (nxt >> 4 < 256) & (used + (nxt & 15) <= size)
-            packed += np.where(open_, nxt >> 4, 0) << 8 * k
-            used += np.where(open_, nxt & 15, 0)
-            count += open_
-        # literals: bytes << 16 | count << 8 | bits; else -1
-        table, mask, many = np.where(sym < 256, packed << 16 | count << 8 | used, -1).tolist(), (1 << size) - 1, 4
+        size = max(code.bits, 11 if n < 12_000 else 13 if n < 50_000 else 15)
+        one = np.tile(code.array, 1 << (size - code.bits)) if size > code.bits else code.array
+        # literals: bytes << 16 | count << 8 | bits; else -1. `step` is that for one symbol, and 0 for others
+        sym, used = one >> 4, one & 15
+        step = np.where(sym < 256, sym << 16 | 256 | used, 0)
+        index, all_ = np.arange(1 << size), step.copy()
+        for k in range(1, 4 if size > 11 else 3):
+            nxt = step[index >> used]
+            fits = (nxt > 0) & (used + (nxt & 255) <= size) & (all_ >> 8 & 255 == k)
+            all_ += np.where(fits, (nxt >> 16 << 8 * k + 16) + (nxt & 0xFFFF), 0)
+            used = all_ & 255
+        mask, many = (1 << size) - 1, 4 if size > 11 else 3
     out, p, words, single, small = bytearray(), bits.at, bits.words, code.table, code.mask
+    low, eight, four = -SEGMENT, np.arange(8), np.arange(4)
     add = out.append
     while (have := len(out)) < n:
-        if many == 4:
-            stop, found = n - 4, []
-            keep = found.append
-            while have <= stop:
-                e = table[words[p >> 3] >> (p & 7) & mask]
-                if e < 0:
-                    break
-                p += e & 255
-                have += e >> 8 & 255
-                keep(e)
-            e = np.array(found, np.int64)
+        while many > 1 and n - have >= 4 * many:
+            # look-ups at all bit positions of a segment; following them is then a walk over positions, which stops
+            # (stays where it is) at the segment's end or at a symbol that is no literal
+            if not low <= p < low + SEGMENT:
+                low = p & ~7
+                part = bits.array[low >> 3 : (low + SEGMENT >> 3)]
+                entry = all_[(part[:, None] >> eight & mask).ravel()]
+                at = np.arange(len(entry) + 64)
+                at[: len(entry)] += entry & 255
+                follow = memoryview(at)
+            q, walked = p - low, []
+            add_at = walked.append
+            for _ in range(min(1024, (n - have) // many)):
+                add_at(q)
+                q = follow[q]
+            spots = np.array(walked)
+            fixed = at[spots] == spots
+            spots = spots[: int(np.argmax(fixed))] if fixed[-1] else spots
+            e = entry[spots]
             sizes = e >> 8 & 255
-            out += ((e >> 16).astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]).tobytes()
-            if have == n:
+            out += ((e >> 16).astype("<u4").view(np.uint8).reshape(-1, 4)[four < sizes[:, None]]).tobytes()
+            have, p = len(out), q + low
+            if fixed[-1] and q < len(entry):
                 break
+        if have == n:
+            break
         e = single[words[p >> 3] >> (p & 7) & small]
         p += e & 15
         s = e >> 4
@@ -243,6 +263,8 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     words = bits.words
 
     def symbol(code: Code) -> int:
+        if not code.bits:
+            return code.only
         e = code.table[words[bits.at >> 3] >> (bits.at & 7) & code.mask]
         bits.at += e & 15
         return e >> 4
@@ -422,17 +444,25 @@ class Out:
     """Values and their bit counts, packed at the end."""
 
     def __init__(self):
-        self.values, self.sizes = [], []
+        self.values, self.sizes, self.few, self.few_sizes = [], [], [], []
 
     def put(self, value: int, size: int) -> None:
-        self.values.append(np.array([value], np.int64))
-        self.sizes.append(np.array([size], np.int64))
+        self.few.append(value)
+        self.few_sizes.append(size)
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.settle()
         self.values.append(values)
         self.sizes.append(sizes)
 
+    def settle(self) -> None:
+        if self.few:
+            self.values.append(np.array(self.few, np.int64))
+            self.sizes.append(np.array(self.few_sizes, np.int64))
+            self.few, self.few_sizes = [], []
+
     def done(self) -> bytes:
+        self.settle()
         v, n = np.concatenate(self.values), np.concatenate(self.sizes)
         end = np.cumsum(n)
         at = end - n
@@ -470,6 +500,10 @@ def code_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
         c = [max(1, n >> 1) for n in c]
 
 
+_FOUR_LENGTHS = [0 if s in (14, 15, 16) else 4 for s in CODE_ORDER]
+_FOUR = {s: int(f"{k:04b}"[::-1], 2) for k, s in enumerate([*range(14), 17, 18])}
+
+
 def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write a code for counts; returns per symbol its bits and its size (0 where only one symbol is used)."""
     used = np.flatnonzero(counts)
@@ -485,10 +519,10 @@ def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         # the code-length code: 4 bits for each of 0 to 13, 17 and 18
         out.put(15 << 1, 5)
-        v = np.array([0 if s in (14, 15, 16) else 4 for s in CODE_ORDER], np.int64)
-        out.many(v, np.full(19, 3, np.int64))
+        out.few += _FOUR_LENGTHS
+        out.few_sizes += [3] * 19
         out.put(0, 1)
-        four = {s: int(f"{k:04b}"[::-1], 2) for k, s in enumerate([*range(14), 17, 18])}
+        four = _FOUR
         vals, szs, zeros = [], [], 0
 
         def flush(zeros: int) -> None:
@@ -510,7 +544,8 @@ def _put_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             vals.append(four[int(lengths[s])]), szs.append(4)
             last = s
         flush(len(lengths) - last - 1)
-        out.many(np.array(vals, np.int64), np.array(szs, np.int64))
+        out.few += vals
+        out.few_sizes += szs
     if len(used) > 1:
         codes[used], sizes[used] = rev, size
     return codes, sizes
@@ -558,7 +593,11 @@ def _put_pixels(out: Out, px: np.ndarray, copies: list[tuple[int, int, int]], ma
         kind_start[first] = 3
         told = np.flatnonzero(kind_start != 1)
     literal = kind == 0
-    counts = [np.bincount(green[told], minlength=280 + cache_size)] + [np.bincount(px[literal, c], minlength=256) for c in (1, 3, 0)] + [np.bincount(dists, minlength=40)]
+    counts = [np.bincount(green[told], minlength=280 + cache_size)]
+    for c in (1, 3, 0):
+        column = px[:, c]
+        counts.append(np.bincount(column[:1] if (column == column[0]).all() else column[literal], minlength=256))
+    counts.append(np.bincount(dists, minlength=40))
     tables = [_put_code(out, c) for c in counts]
     cols_v, cols_n = [tables[0][0][green]], [tables[0][1][green]]
     for (codes, sizes), c in zip(tables[1:4], (1, 3, 0)):
@@ -578,6 +617,8 @@ def _put_pixels(out: Out, px: np.ndarray, copies: list[tuple[int, int, int]], ma
 
 
 def _riff(width: int, height: int, body: Out, head: Out) -> bytes:
+    head.settle()
+    body.settle()
     head.values += body.values
     head.sizes += body.sizes
     data = head.done()
