@@ -191,3 +191,31 @@ def test_stream_equals_batch(spark, tmp_path):
         (src / f"{k}.json").write_text(json.dumps(r) + "\n")
         state.start(live.read_stream(spark, str(src), 1), str(tmp_path / "ck")).awaitTermination()
     assert [tuple(r) for r in state.extents().collect()] == [(1, 3, "2024-01-03")]
+
+
+def test_run_state_resumes_and_chunks_adapt(spark, tmp_path):
+    from threadloom.plans import run
+
+    s = run.State(spark, str(tmp_path / "state"))
+    assert s.last() is None
+    t = spark.createDataFrame([("people", 1, 2, "2024-01-01")], "section string, root long, done_count long, done_leaf string")
+    s.save(done=t, files=t, tasks=t, fired=t)
+    s.save(done=t.limit(0), files=t, tasks=t, fired=t)
+    assert s.last() == 2 and s.load("done").count() == 0
+    m = chains.atoms(chains.with_root(spark.createDataFrame([msg(1), msg(2, 1)], M)))
+    assert run.pending(m, t, ["people", "world"]).select("section").collect()[0]["section"] == "world"
+    sizes = []
+    got = run.ingest(list(range(100)), lambda c: (sizes.append(len(c)), sum(c) < 900)[1], 24)
+    assert sum(n for n, _ in got) == 100 and max(sizes) >= 24 and not any(f for _, f in got)
+    assert run.ingest([5], lambda c: False) == [(1, True)]
+
+
+def test_report_goes_to_three_places(spark, tmp_path):
+    from threadloom.plans import run
+
+    m = spark.createDataFrame([msg(1, name="Ann")], M)
+    key = m.select(X.person_key("sender_id", "sender_name")).collect()[0][0]
+    b = spark.createDataFrame([("x", "people", f"about {key}", 1, 1)], "per string, section string, body string, updated long, doc_id long")
+    run.write_report(b, m, 1000, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out" / "named")).filter("value like '%about @ann%'").count() == 1
+    assert spark.read.json(str(tmp_path / "out" / "vault")).collect()[0]["key"] == key

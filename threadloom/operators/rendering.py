@@ -46,6 +46,33 @@ def slots(kind: Column, desc: Column, filename: Column) -> Column:
     )
 
 
+def media(kind: Column, desc: Column, name: Column, emoji: Column, phone: Column, lat: Column, long: Column) -> Column:
+    """The long form of what a message carries. A contact card shows a digest of its phone or name, never these."""
+    seed = F.lower(F.trim(F.coalesce(F.nullif(phone, F.lit("")), name, F.lit(""))))
+    file = F.nullif(name, F.lit(""))
+    card = F.when(seed == "", "[contact]").otherwise(F.concat(F.lit("[contact: @u"), X.digest(F.concat(F.lit("contact:"), seed)), F.lit("]")))
+    say = lambda what, value: F.concat(F.lit(f"[{what}: "), value, F.lit("]"))
+    body = (
+        F.when(kind.isNull(), None)
+        .when((kind == "photo") & (F.coalesce(desc, F.lit("")) != ""), say("photo", desc))
+        .when(kind == "photo", "[photo]")
+        .when(kind == "sticker", say("sticker", F.coalesce(emoji, F.lit(""))))
+        .when(kind.isin("audio", "voice"), F.concat(F.lit("["), kind, F.lit(": "), F.coalesce(file, kind), F.lit("]")))
+        .when(kind.isin("video", "file"), F.concat(F.lit("["), kind, F.lit(": "), F.coalesce(file, kind), F.lit("]")))
+        .when(kind == "contact", card)
+        .when(kind == "geo", F.concat(F.lit("[location: "), lat.cast("string"), F.lit(", "), long.cast("string"), F.lit("]")))
+        .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
+    )
+    return F.concat(F.lit("  "), body)
+
+
+def pictures(parts: Column) -> Column:
+    """One description, or a numbered list of them; parts: array of struct(what, text), where text is what is written there."""
+    one = lambda p: F.concat(p["what"], F.when(F.trim(F.coalesce(p["text"], F.lit(""))) != "", F.concat(F.lit(" | text: "), F.trim(p["text"]))).otherwise(""))
+    many = F.array_join(F.transform(parts, lambda p, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), one(p))), " ")
+    return F.when(F.size(parts) == 1, one(parts[0])).otherwise(many)
+
+
 def poll(question: Column, options: Column, total: Column, quiz: Column, closed: Column) -> Column:
     """A poll; options: array of struct(text, voters)."""
     top = F.concat(F.lit("  [poll"), F.when(quiz, " (quiz)").otherwise(""), F.lit(": "), F.coalesce(question, F.lit("")), F.lit("]"))

@@ -212,3 +212,77 @@ def llm_overflow(spark, d):
     n = F.col("p_size")
     p = A.read(spark, d, "part").select(F.when(n % 3 == 0, F.concat(F.lit("maximum context length is "), n.cast("string"))).when(n % 3 == 1, "prompt too long").otherwise(F.concat(F.lit("busy "), n.cast("string"))).alias("reply")).distinct()
     return p.select("reply", F.col("reply").rlike(TOO_LONG).alias("too_long"))
+
+
+@query(
+    """SELECT id, '  ' || CASE k WHEN 0 THEN '[photo: d' || id || ']' WHEN 1 THEN '[sticker: :)]' WHEN 2 THEN '[voice: voice]' WHEN 3 THEN '[file: f' || id || ']' WHEN 4 THEN '[contact: @u' || left(sha256('contact:+' || id), 8) || ']'
+ WHEN 5 THEN '[location: ' || id || ', 7]' ELSE '[poll]' END AS text FROM (SELECT p_partkey AS id, p_partkey % 7 AS k FROM part)"""
+)
+def rnd_media(spark, d):
+    from ..operators import rendering
+
+    p = A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("k"))
+    kinds = F.array(*[F.lit(k) for k in ("photo", "sticker", "voice", "file", "contact", "geo", "poll")])
+    i = F.col("id").cast("string")
+    text = rendering.media(F.get(kinds, F.col("k").cast("int")), F.concat(F.lit("d"), i), F.when(F.col("k") == 3, F.concat(F.lit("f"), i)), F.lit(":)"), F.concat(F.lit("+"), i), F.col("id"), F.lit(7))
+    return p.select("id", text.alias("text"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' | text: ' || n_regionkey ELSE '(1) ' || n_name || ' (2) b | text: x' END AS text FROM nation")
+def rnd_vision(spark, d):
+    from ..operators import rendering
+
+    n = A.read(spark, d, "nation")
+    pair = lambda a, b: F.struct(a.alias("what"), b.alias("text"))
+    parts = F.when(F.col("n_nationkey") % 2 == 0, F.array(pair(F.col("n_name"), F.col("n_regionkey").cast("string")))).otherwise(F.array(pair(F.col("n_name"), F.lit(" ")), pair(F.lit("b"), F.lit("x"))))
+    return n.select(F.col("n_nationkey").alias("id"), rendering.pictures(parts).alias("text"))
+
+
+@query(
+    """SELECT key, array_to_string(list_filter([CASE WHEN balance IS NULL THEN 'balance: missing' END, CASE WHEN segment NOT IN ('AUTOMOBILE', 'BUILDING') THEN 'segment: not one of 2 values: ' || segment END, CASE WHEN total < 20000 THEN 'total: below 20000' END], lambda x: x IS NOT NULL), '; ') AS errors FROM rec""",
+    A.RECORDS,
+)
+def st_errors(spark, d):
+    from ..operators import records as R
+
+    fields = [R.Field("balance", "double", required=True), R.Field("segment", "string", values=("AUTOMOBILE", "BUILDING")), R.Field("total", "double", least=20000)]
+    return A.records(spark, d).select("key", F.array_join(R.errors(fields), "; ").alias("errors"))
+
+
+@query("SELECT key, CASE WHEN status = 'P' THEN 'P' ELSE 'X' END AS status, total FROM rec", A.RECORDS)
+def st_validate(spark, d):
+    from ..operators import records as R
+
+    r = A.records(spark, d).select("key", "status", "total")
+    given = r.select("key", F.when(F.col("status") == "P", "bad").otherwise("X").alias("status"), F.lit(None).cast("double").alias("total"))
+    return R.patch(r, given, [R.Field("status", "string", values=("X", "O", "F", "P")), R.Field("total", "double")]).select("key", "status", "total")
+
+
+@query("SELECT period, 'What happened in ' || period AS text, CASE WHEN length(period) = 4 THEN period || '-00-00' WHEN period LIKE '%q%' THEN substr(period,1,4) || '-' || lpad(CAST(CAST(substr(period,7,1) AS INTEGER)*3-2 AS VARCHAR), 2, '0') || '-00' WHEN length(period) = 7 THEN period || '-00' ELSE period END AS order_key FROM hst WHERE body NOT LIKE '(%)' AND substr(period, 1, 4) < '1997'", A.HISTORY)
+def vw_history(spark, d):
+    h = A.history(spark, d).filter(X.has_content("body") & (P.year_of(F.col("period")) < "1997"))
+    return h.select("period", F.col("body").alias("text"), P.order_key("period").alias("order_key"))
+
+
+@query("SELECT seg AS company, max(posted) AS updated, CAST(count(*) AS BIGINT) AS facts, min(text) AS text FROM (SELECT split_part(key, '/', 2) AS seg, posted, status || ' ' || priority AS text FROM rec) GROUP BY seg", A.RECORDS)
+def vw_companies(spark, d):
+    r = A.records(spark, d).select(F.split("key", "/")[1].alias("company"), "posted", F.concat_ws(" ", "status", "priority").alias("text"))
+    return r.groupBy("company").agg(F.max("posted").alias("updated"), F.count("*").alias("facts"), F.min("text").alias("text"))
+
+
+@query("SELECT segment AS course, CASE WHEN month(CAST(posted AS DATE)) >= 8 THEN year(CAST(posted AS DATE)) || '-fall' WHEN month(CAST(posted AS DATE)) = 1 THEN (year(CAST(posted AS DATE)) - 1) || '-fall' ELSE year(CAST(posted AS DATE)) || '-spring' END AS term, CAST(count(*) AS BIGINT) AS blocks FROM rec GROUP BY 1, 2", A.RECORDS)
+def vw_study(spark, d):
+    return A.records(spark, d).groupBy(F.col("segment").alias("course"), P.term("posted").alias("term")).agg(F.count("*").alias("blocks"))
+
+
+@query("SELECT segment, max(posted) AS newest, arg_max(key, posted || key) AS last_offer FROM rec GROUP BY segment", A.RECORDS)
+def vw_offers(spark, d):
+    return A.records(spark, d).groupBy("segment").agg(F.max("posted").alias("newest"), F.max_by("key", F.concat("posted", "key")).alias("last_offer"))
+
+
+@query("SELECT 'prune' AS name, path AS target, CAST(70 + least(30, floor(30.0 * (length(body) - char_limit) / char_limit)) AS BIGINT) AS priority, 'overflow:' || path AS dedup_key FROM fil WHERE length(body) > char_limit UNION ALL SELECT 'rollup', month, CAST(50 AS BIGINT), 'rollup:' || month FROM lve WHERE tier = 'day' AND month < '1998-08' AND month NOT IN (SELECT period FROM lve WHERE tier = 'month') GROUP BY month", A.FILES, A.HISTORY, LIVE)
+def trg_fire(spark, d):
+    from .run import fire
+
+    gaps = history.gaps(A.history(spark, d), "1998-08-20").filter("tier = 'month'")
+    return fire("1998-08-20", gaps=gaps, oversized=store.oversized(A.files(spark, d)))
