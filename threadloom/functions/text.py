@@ -55,9 +55,10 @@ def upper_headers(text: Column | str) -> Column:
     start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, line: Column) -> Column:
-        fence = F.ltrim(line).startswith("```")
-        head = ~fence & ~acc["fenced"] & line.rlike(r"^#{1,6}")
-        out = F.when(head, F.concat(F.regexp_extract(line, r"^(#{1,6}\s*)", 1), F.upper(F.regexp_replace(line, r"^#{1,6}\s*", "")))).otherwise(line)
+        fence = line.rlike(r"^[ \t]*```")
+        head = ~fence & ~acc["fenced"] & line.rlike(r"^[ \t]*#{1,6}[ \t]*\S")
+        marks = r"^([ \t]*#{1,6}[ \t]*)"
+        out = F.when(head, F.concat(F.regexp_extract(line, marks, 1), F.upper(F.regexp_replace(line, marks, "")))).otherwise(line)
         return F.struct(F.when(fence, ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"), F.concat(acc["done"], F.array(out)).alias("done"))
 
     return F.regexp_replace(F.array_join(F.aggregate(lines, start, step)["done"], "\n"), r"^\s+|\s+$", "")
@@ -97,6 +98,6 @@ def expand_groups(text: Column | str, everyone: Column, speaker: Column) -> Colu
 
 def has_content(body: Column | str) -> Column:
     """At least two word characters, and not one short remark in parentheses."""
-    b = F.trim(F.coalesce(col(body), F.lit("")))
+    b = F.regexp_replace(F.coalesce(col(body), F.lit("")), r"(?U)^\s+|\s+$", "")
     remark = b.startswith("(") & b.endswith(")") & (F.length(b) < 160)
     return (F.regexp_count(b, F.lit(r"(?U)\w")) >= 2) & ~remark

@@ -30,13 +30,15 @@ def atom_text(atoms: DataFrame, since: Column | None = None) -> DataFrame:
     return atoms.withColumn("content", F.array_join(lines, "\n"))
 
 
-def slots(kind: Column, desc: Column, filename: Column) -> Column:
-    """A placeholder for what a message carries besides its text."""
+def slots(kind: Column, desc: Column, filename: Column, resent: Column | None = None, failed: Column | None = None) -> Column:
+    """A placeholder for what a message carries besides its text; resent, failed: about pictures without a description."""
     described = F.coalesce(desc, F.lit("")) != ""
     name = F.nullif(filename, F.lit(""))
     return (
         F.when(kind.isNull(), None)
         .when((kind == "photo") & described, F.concat(F.lit("[photo: "), desc, F.lit("]")))
+        .when((kind == "photo") & F.coalesce(F.lit(False) if resent is None else resent, F.lit(False)), "[photo: re-sent image — vision unavailable]")
+        .when((kind == "photo") & F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)), "[photo: download failed — vision unavailable]")
         .when(kind == "photo", "[photo: vision unavailable]")
         .when(kind.isin("audio", "voice"), "[audio: transcription unavailable]")
         .when((kind == "video") & described, F.concat(F.lit("[video thumbnail: "), desc, F.lit("]")))
@@ -67,10 +69,15 @@ def media(kind: Column, desc: Column, name: Column, emoji: Column, phone: Column
 
 
 def pictures(parts: Column) -> Column:
-    """One description, or a numbered list of them; parts: array of struct(what, text), where text is what is written there."""
-    one = lambda p: F.concat(p["what"], F.when(F.trim(F.coalesce(p["text"], F.lit(""))) != "", F.concat(F.lit(" | text: "), F.trim(p["text"]))).otherwise(""))
-    many = F.array_join(F.transform(parts, lambda p, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), one(p))), " ")
-    return F.when(F.size(parts) == 1, one(parts[0])).otherwise(many)
+    """The description of one picture, or numbered ones of several; parts: array of struct(what, text), where text is
+    what is written in the picture."""
+
+    def one(p: Column, head: Column) -> Column:
+        text = F.when(F.regexp_replace(F.coalesce(p["text"], F.lit("")), r"\s", "") != "", F.concat(F.lit("\nOCR:\n"), p["text"])).otherwise("")
+        return F.concat(F.regexp_replace(F.concat(head, p["what"]), r"\s+$", ""), text)
+
+    many = F.array_join(F.transform(parts, lambda p, i: one(p, F.concat(F.lit("[image "), F.lpad(i.cast("string"), 2, "0"), F.lit("] ")))), "\n\n")
+    return F.when(F.size(parts) == 1, F.regexp_replace(one(parts[0], F.lit("")), r"^\s+|\s+$", "")).otherwise(many)
 
 
 def poll(question: Column, options: Column, total: Column, quiz: Column, closed: Column) -> Column:
@@ -89,11 +96,19 @@ def days(messages: DataFrame) -> DataFrame:
     return g.select("day", F.concat(F.lit("## "), F.col("day"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("content"))
 
 
+# The marks between which a reply about a picture puts its two parts.
+TEXT_MARK, WHAT_MARK = "===OCR===", "===DESCRIPTION==="
+
+
 def vision(reply: Column) -> Column:
-    """A described picture as struct(what, text), from a reply of two marked parts."""
+    """A described picture as struct(what, text): what follows the marks; a reply without marks is text."""
+
     def bare(c: Column) -> Column:
         return F.regexp_replace(c, r"^\s+|\s+$", "")
 
-    what = bare(F.regexp_extract(reply, r"(?s)DESCRIPTION:(.*?)(?:TEXT:|$)", 1))
-    seen = bare(F.regexp_extract(reply, r"(?s)TEXT:(.*)$", 1))
-    return F.struct(F.when(what == "", bare(reply)).otherwise(what).alias("what"), seen.alias("text"))
+    at = F.position(F.lit(WHAT_MARK), reply)
+    what = F.when(at > 0, F.substring(reply, at + len(WHAT_MARK), F.length(reply))).otherwise("")
+    rest = F.when(at > 0, F.substring(reply, F.lit(1), at - 1)).otherwise(reply)
+    start = F.position(F.lit(TEXT_MARK), rest)
+    text = F.when(start > 0, F.substring(rest, start + len(TEXT_MARK), F.length(rest))).otherwise(rest)
+    return F.struct(bare(what).alias("what"), bare(text).alias("text"))

@@ -99,6 +99,7 @@ def condition(df: DataFrame, field: str, want) -> Column:
         return F.coalesce(F.arrays_overlap(c, F.array(*map(F.lit, want))) if kind.startswith("array") else c.isin(want), F.lit(False))
     if isinstance(want, bool) or not isinstance(want, str):
         return c.eqNullSafe(F.lit(want))
+    want = want.strip()
     for op in (">=", "<=", ">", "<"):
         if want.startswith(op):
             try:

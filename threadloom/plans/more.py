@@ -228,7 +228,7 @@ def rnd_media(spark, d):
     return p.select("id", text.alias("text"))
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' | text: ' || n_regionkey ELSE '(1) ' || n_name || ' (2) b | text: x' END AS text FROM nation")
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || chr(10) || 'OCR:' || chr(10) || n_regionkey ELSE '[image 00] ' || n_name || chr(10) || chr(10) || '[image 01] b' || chr(10) || 'OCR:' || chr(10) || 'x' END AS text FROM nation")
 def rnd_vision(spark, d):
     from ..operators import rendering
 

@@ -304,7 +304,7 @@ def rnd_headers(spark, d):
 @query("SELECT p_partkey AS id, p_name AS what, p_brand AS text FROM part")
 def prs_vision(spark, d):
     p = A.read(spark, d, "part")
-    v = rendering.vision(F.concat(F.lit("DESCRIPTION: "), F.col("p_name"), F.lit("\nTEXT:\n"), F.col("p_brand")))
+    v = rendering.vision(F.concat(F.lit("===OCR===\n"), F.col("p_brand"), F.lit("\n===DESCRIPTION===\n"), F.col("p_name")))
     return p.select(F.col("p_partkey").alias("id"), v.alias("v")).select("id", "v.what", "v.text")
 
 

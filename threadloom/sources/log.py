@@ -50,8 +50,9 @@ def digits(v):
     return F.regexp_replace(v, r"\D", "").try_cast("bigint")
 
 
-KINDS = {"personal_chat": "user", "bot_chat": "user", "saved_messages": "user", "private_group": "group", "private_supergroup": "group", "public_supergroup": "group", "private_channel": "channel", "public_channel": "channel"}
-MEDIA = {"voice_message": "voice", "video_file": "video", "video_message": "video", "audio_file": "audio", "sticker": "sticker", "animation": "video"}
+#: Chat kinds of an export; all others are groups. Media types that have another name here; all others keep theirs.
+KINDS = {"personal_chat": "user", "private_channel": "channel", "public_channel": "channel"}
+MEDIA = {"voice_message": "voice", "video_file": "video"}
 
 
 def import_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -74,8 +75,9 @@ def import_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         get("$.from").alias("sender_name"),
         text.alias("text"),
         get("$.reply_to_message_id", "bigint").alias("reply_to"),
-        F.when(photo, "photo").otherwise(F.coalesce(F.try_element_at(mapped, get("$.media_type")), get("$.media_type"), F.when(get("$.file").isNotNull(), "file"))).alias("media_type"),
-        F.coalesce(get("$.photo"), get("$.file")).alias("media_path"),
+        F.when(photo, "photo").otherwise(F.coalesce(F.try_element_at(mapped, get("$.media_type")), get("$.media_type"))).alias("media_type"),
+        get("$.photo").alias("media_path"),
+        get("$.media_type").alias("media_raw"),
     )
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     chat = doc.select(F.try_variant_get("v", "$.id", "bigint").alias("id"), F.try_variant_get("v", "$.name", "string").alias("title"), F.coalesce(F.try_element_at(kinds, F.try_variant_get("v", "$.type", "string")), F.lit("group")).alias("kind"))
