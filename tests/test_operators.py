@@ -227,3 +227,16 @@ def test_slots_of_pictures(spark):
     df = spark.createDataFrame([("photo", None, True, False), ("photo", None, False, True), ("photo", "a cat", True, True), ("video", None, None, None), (None, None, None, None)], "k string, d string, r boolean, f boolean")
     got = [x[0] for x in df.select(rendering.slots(F.col("k"), F.col("d"), F.lit(None).cast("string"), F.col("r"), F.col("f"))).collect()]
     assert got == ["[photo: re-sent image — vision unavailable]", "[photo: download failed — vision unavailable]", "[photo: a cat]", "[file: video — thumbnail not described]", None]
+
+
+def test_days_close_behind_the_watermark(spark, tmp_path):
+    from threadloom.streaming import live
+
+    src = tmp_path / "src"
+    src.mkdir()
+    for k, date in enumerate(["2024-01-01T10:00:00", "2024-01-01T12:00:00", "2024-01-09T10:00:00", "2024-01-01T13:00:00"]):
+        (src / f"{k}.json").write_text(json.dumps({"id": k, "date": date, "sender_id": k}) + "\n")
+    q = live.per_day(live.read_stream(spark, str(src), 1)).writeStream.outputMode("append").format("memory").queryName("days").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.sql("select messages from days").collect()
+    assert len(rows) == 1 and rows[0]["messages"] in (2, 3)
