@@ -240,3 +240,37 @@ def test_days_close_behind_the_watermark(spark, tmp_path):
     q.awaitTermination()
     rows = spark.sql("select messages from days").collect()
     assert len(rows) == 1 and rows[0]["messages"] in (2, 3)
+
+
+def _descend(live, period):
+    """A period as coarse as there is a file for it."""
+    if period in live or len(period) == 10:
+        return [period] if period in live else []
+    if len(period) == 4:
+        parts = [f"{period}-q{q}" for q in range(1, 5)]
+    elif "q" in period:
+        q = int(period[-1])
+        parts = [f"{period[:4]}-{m:02d}" for m in range(3 * q - 2, 3 * q + 1)]
+    else:
+        parts = sorted(p for p in live if len(p) == 10 and p.startswith(period))
+    return [x for p in parts for x in _descend(live, p)]
+
+
+def _taper(live, today):
+    year, month = today[:4], int(today[5:7])
+    quarter = (month + 2) // 3
+    out = [x for y in sorted({p[:4] for p in live if p[:4] < year}) for x in _descend(live, y)]
+    out += [x for q in range(1, quarter) for x in _descend(live, f"{year}-q{q}")]
+    now = [x for m in range(3 * quarter - 2, month) for x in _descend(live, f"{year}-{m:02d}")]
+    days = [p for p in sorted(live) if len(p) == 10 and p[:7] == today[:7] and p <= today]
+    now += days or ([today[:7]] if today[:7] in live else [])
+    return out + (now or [p for p in (f"{year}-q{quarter}", year) if p in live][:1])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.sets(st.sampled_from([*(f"{y}-{m:02d}-{d:02d}" for y in (2023, 2024) for m in (1, 5, 8, 9) for d in (3, 20)), *(f"{y}-{m:02d}" for y in (2023, 2024) for m in (1, 5, 8, 9)), *(f"{y}-q{q}" for y in (2023, 2024) for q in (1, 2, 3)), "2023", "2024"])), st.sampled_from(["2024-08-10", "2024-01-03", "2024-09-30"]))
+def test_taper_equals_the_descent(spark, live, today):
+    from threadloom.operators import history
+
+    files = spark.createDataFrame([(p, "what happened") for p in live] + [("2022", "(empty)"), ("bad", "x y z")], "period string, body string")
+    assert sorted(r["period"] for r in history.taper(files, today).collect()) == sorted(_taper(live, today))
