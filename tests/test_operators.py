@@ -274,3 +274,14 @@ def test_taper_equals_the_descent(spark, live, today):
 
     files = spark.createDataFrame([(p, "what happened") for p in live] + [("2022", "(empty)"), ("bad", "x y z")], "period string, body string")
     assert sorted(r["period"] for r in history.taper(files, today).collect()) == sorted(_taper(live, today))
+
+
+def test_command_line(spark, tmp_path):
+    from threadloom import cli
+
+    assert cli.parse_sections(["people:timeline=off,x=on", "world"]) == {"people": {"timeline": False, "x": True}, "world": {}}
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "m.jsonl").write_text("\n".join(json.dumps({"id": k, "date": f"2024-01-{k:02d}T10:00", "text": "word " * 40, "sender_id": 1}) for k in range(1, 9)))
+    assert cli.main(["report", str(tmp_path / "log"), str(tmp_path / "out"), "--window", "2000"]) == 0
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sum(r["atoms"] for r in rows) == 8 and len(rows) > 1
