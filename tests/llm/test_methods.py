@@ -188,6 +188,8 @@ def near_copies(n, seed, words=60, edits=3):
 
 def test_join_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 20)  # so that keys are cut into tiles here
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
+    monkeypatch.setattr(ngram_join, "OFTEN", 5)  # and some keys count as met often
     monkeypatch.setattr(ngram_join, "COPIES", 3)  # and some sets count as having many copies
     texts = [t for (t,) in rows(f"select text from {DOCS} order by doc_id limit 120")]
     texts += near_copies(90, 1) + near_copies(40, 2, 300, 12) + near_copies(30, 3, 12, 2) + ["a b c", "A B c", "a b", "", "a b c d e f g", "a b c d e f g h"] + ["one text that has many copies here"] * 9

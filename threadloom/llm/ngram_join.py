@@ -44,6 +44,8 @@ TILE = 2048
 FAN = 16
 #: Pairs per document and tree that first rounds verify; the last round verifies all that are left.
 ROUNDS = (8,)
+#: One document in so many is drawn to find keys that are met often, and how often that is.
+SAMPLE, OFTEN = 64, 16
 #: Copies of a set from which it is sent to its rows.
 COPIES = 1000
 #: Groups of a point at most.
@@ -315,6 +317,29 @@ def _search(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(call, _PAIR)
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """(id, key, rep) of the keys that two documents share; rep is the least id of the key.
+
+    Most keys have one document, so a window over each is the cheapest way. Keys that a sample shows to have very many
+    are aggregated before they are shuffled, and their few results sent to the rows; which way a key goes changes no
+    result."""
+    drawn = keys.filter(F.pmod(F.xxhash64(F.lit("hot keys"), "id"), F.lit(SAMPLE)) == 0)
+    hot = small(keep(drawn.groupBy("key").count().filter(F.col("count") >= OFTEN).select("key")))
+    w = W.partitionBy("key")
+    cold = keys.join(hot, "key", "left_anti").withColumn("rep", F.min("id").over(w)).withColumn("top", F.max("id").over(w)).filter("rep < top").select("id", "key", "rep")
+    rows = keys.join(hot, "key")
+    reps = small(keep(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep < top").drop("top")))
+    return cold.unionByName(rows.join(reps, "key").select("id", "key", "rep"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (key, node, component, ...) of keys whose documents are in several components, with the number and a checksum
+    of the key's documents. Aggregates first, so that a key with very many rows is counted where the rows are."""
+    g = rows.groupBy(F.col("key").alias("g")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("same"))
+    g = g.filter("low < high").select("g", "size", "same")
+    return rows.join(g, F.col("key") == F.col("g")).drop("g")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of docs: id, n_shingles, component."""
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -327,11 +352,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     often = small(sets.filter(F.col("copies") > COPIES).drop("copies"))
     node = full.join(often, ["h1", "h2"]).unionByName(full.join(often, ["h1", "h2"], "left_anti").join(sets.filter(F.col("copies") <= COPIES).drop("copies"), ["h1", "h2"]))
     node = keep(node.select("id", "node", "n"))
-    # keys that two documents share
-    met = d.filter("keys is not null and id is not null").select("id", F.explode("keys").alias("key"))
-    w = W.partitionBy("key")
-    met = met.withColumn("rep", F.min("id").over(w)).withColumn("top", F.max("id").over(w)).filter("rep < top").drop("top")
-    met = keep(met)
+    met = keep(_met(d.filter("keys is not null and id is not null").select("id", F.explode("keys").alias("key"))))
     if met.isEmpty():
         return _result(d, node, None)
     of = node.select("id", "node")
@@ -349,16 +370,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         c = components(links).withColumnRenamed("id", "c_node")
         return rows.join(c, F.col("node") == F.col("c_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("c_node")
 
-    open_ = F.min("component").over(w) < F.max("component").over(w)
-    rows = placed(met.select("key", "id").join(node, "id").select("key", "node", "n").distinct())
-    rows = rows.withColumn("open", open_).filter("open").withColumn("same", F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(w)).withColumn("size", F.count("*").over(w)).select("key", "node", "n", "same", "size")
-    rows = keep(rows)
+    rows = placed(keep(met.select("key", "id").join(node, "id").select("key", "node", "n").distinct()))
+    rows = keep(_open(rows).select("key", "node", "n", "same", "size"))
     one = rows.groupBy("same", "size").agg(F.min("key").alias("key")).select("key")
     rows = keep(rows.join(one, "key", "left_semi").select("key", "node", "n", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
     # each round verifies the likeliest pairs of each document, which mostly connects what can be connected; the last
     # round leaves none out
     for most in (*ROUNDS, None):
-        now = placed(rows).withColumn("open", open_).filter("open").drop("open")
+        now = _open(placed(rows)).drop("same", "size")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         now = now.withColumn("mine", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         now = now.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component").join(points.select("node", "point"), "node")
