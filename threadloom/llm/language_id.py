@@ -105,9 +105,9 @@ def train(x: np.ndarray, langs_of: list[str]) -> Model:
         return Model(langs, code, np.zeros((WIDTH, code.shape[1]), np.float32), np.ones(code.shape[1]), np.ones_like(code))
     y = code[[langs.index(v) for v in langs_of]]
     mean = x.mean(0)
-    z = (x - mean).astype(np.float64)
+    z = x - mean
     off = y.mean(0)
-    gram = z @ z.T
+    gram = (z @ z.T).astype(np.float64)
     lam = RIDGE * np.trace(gram) / len(z) + 1e-9
     weight = z.T @ np.linalg.solve(gram + lam * np.eye(len(z)), y - off)
     bias = off - mean @ weight
@@ -131,9 +131,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))])
     u = F.pmod(F.xxhash64(F.lit("language sample"), "k"), F.lit(1 << 20)) / (1 << 20)
     rows = known.filter(u < F.element_at(share, F.col("l"))).withColumn("f", over_texts(lambda ts: [[features(t or "").tobytes() for t in ts]], _FEATURES)(F.col("t")))
-    got = sorted((r[0], r[1]) for r in rows.select("l", "f.x").collect())
+    got = sorted((r[0], bytes(r[1])) for r in rows.select("l", "f.x").collect())
     langs_of = [r[0] for r in got]
-    x = np.stack([np.frombuffer(r[1], np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
+    x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(-1, WIDTH)
+    del got
     return train(x, langs_of)
 
 
