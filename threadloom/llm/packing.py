@@ -12,6 +12,7 @@ doc_id) get pieces each; an empty table has no sequence.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -40,22 +41,27 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file["added_tokens"]]
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
-        vocab = {k: v for k, v in self.tokenizer.get_vocab(with_added_tokens=False).items() if k not in self.special}
-        ranks = {bytes(byte[c] for c in k): v for k, v in vocab.items()}
+        ranks = {bytes(byte[c] for c in k): v for k, v in file["model"]["vocab"].items() if k not in self.special}
         self.fast = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids by `tokenizers`, loaded when a text first needs it."""
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
