@@ -13,6 +13,7 @@ text with a letter gets it, score 1. Equal texts get equal predictions; input co
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -99,20 +100,22 @@ class Model:
 
 
 def train(x: np.ndarray, langs_of: list[str]) -> Model:
+    """x: a row of features per text; it is centred in place."""
     langs = sorted(set(langs_of))
     code = codewords(len(langs))
     if len(langs) < 2:
         return Model(langs, code, np.zeros((WIDTH, code.shape[1]), np.float32), np.ones(code.shape[1]), np.ones_like(code))
     y = code[[langs.index(v) for v in langs_of]]
     mean = x.mean(0)
-    z = x - mean
+    x -= mean  # x is not needed as it was: the driver holds one copy
     off = y.mean(0)
-    gram = (z @ z.T).astype(np.float64)
-    lam = RIDGE * np.trace(gram) / len(z) + 1e-9
-    weight = z.T @ np.linalg.solve(gram + lam * np.eye(len(z)), y - off)
+    gram = (x @ x.T).astype(np.float64)
+    lam = RIDGE * np.trace(gram) / len(x) + 1e-9
+    gram[np.diag_indices(len(x))] += lam
+    weight = x.T @ np.linalg.solve(gram, y - off)
     bias = off - mean @ weight
     # trust of a bit for a language: share of its training texts on the right side, per language summing to 1
-    right = (x @ weight + bias) * y > 0
+    right = (x @ weight + off) * y > 0
     of = np.array([langs.index(v) for v in langs_of])
     trust = np.stack([right[of == k].mean(0) + 1e-3 for k in range(len(langs))])
     return Model(langs, code, weight.astype(np.float32), bias, trust / trust.sum(1, keepdims=True))
@@ -131,9 +134,12 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))])
     u = F.pmod(F.xxhash64(F.lit("language sample"), "k"), F.lit(1 << 20)) / (1 << 20)
     rows = known.filter(u < F.element_at(share, F.col("l"))).withColumn("f", over_texts(lambda ts: [[features(t or "").tobytes() for t in ts]], _FEATURES)(F.col("t")))
-    got = sorted((r[0], bytes(r[1])) for r in rows.select("l", "f.x").collect())
-    langs_of = [r[0] for r in got]
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(-1, WIDTH)
+    got = rows.select("l", "f.x").collect()
+    order = sorted(range(len(got)), key=lambda k: (got[k][0], hashlib.blake2b(got[k][1]).digest()))
+    langs_of = [got[k][0] for k in order]
+    x = np.empty((len(got), WIDTH), np.float32)
+    for at, k in enumerate(order):
+        x[at] = np.frombuffer(got[k][1], np.float32)
     del got
     return train(x, langs_of)
 
