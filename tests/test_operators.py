@@ -34,6 +34,21 @@ def test_cycle_and_tail_into_it(spark):
     assert got[1] == 1 and got[2] == 2 and got[3] == 1
 
 
+def test_long_chains_and_cycles_lose_no_message(spark, monkeypatch):
+    monkeypatch.setattr(chains, "WALK", 4, raising=False)  # a bound on depth or steps would show here
+    up = {k: k - 1 for k in range(1, 40)} | {100: 99} | {k: k - 1 for k in range(101, 140)}  # to a top, to a lost parent
+    up |= {k: k - 1 for k in range(201, 230)} | {200: 229} | {300: 205} | {k: k - 1 for k in range(301, 340)} | {400: 400}
+    want = {0: 0} | {k: 0 for k in range(1, 40)} | {k: 99 for k in range(100, 140)} | {k: k for k in range(200, 230)} | {k: 205 for k in range(300, 340)} | {400: 400}
+    assert roots(spark, [msg(0)] + [msg(k, p) for k, p in up.items()]) == want
+
+
+def test_chain_deeper_than_any_fixed_number_of_rounds(spark):
+    n = 33_000
+    m = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("reply_to"), F.lit(None).cast("long").alias("post_id"))
+    got = chains.roots(m).groupBy("root").count().collect()
+    assert [tuple(r) for r in got] == [(0, n)]
+
+
 def test_post_members_keep_their_post(spark):
     got = roots(spark, [msg(5, None, 5), msg(6, 5, 5), msg(7, 6)])
     assert got == {5: 5, 6: 5, 7: 5}

@@ -6,8 +6,6 @@ log2(n) rounds of one join each. Each round is written to the shared checkpoint
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .lineage import cut
 
-#: Steps that a walk takes at most.
-WALK = 10_000
 GENERIC = ("chat", "channel")
 
 
@@ -40,39 +36,42 @@ def with_parent(messages: DataFrame) -> DataFrame:
     return messages.join(ids, F.col("reply_to") == F.col("parent_id"), "left")
 
 
+def _settle(jump: DataFrame) -> tuple[DataFrame, int, int]:
+    """Pointers (id, to, top) jumped until all rest on a top, or until a round settles nothing new: what is left then leads
+    into cycles. With the number left, and the steps that each of their pointers has gone."""
+    left, span = None, 1
+    while True:
+        nxt = jump.select(F.col("id").alias("j"), F.col("to").alias("j_to"), F.col("top").alias("j_top"))
+        # null j: the parent is not in the log
+        joined = jump.join(nxt, F.col("to") == F.col("j"), "left")
+        jump = cut(joined.select("id", F.coalesce(F.when(~F.col("top"), F.col("j_to")), F.col("to")).alias("to"), (F.col("top") | F.coalesce("j_top", F.lit(True))).alias("top")))
+        last, left, span = left, jump.filter(~F.col("top")).count(), 2 * span
+        if not left or left == last:
+            return jump, left, span
+
+
 def roots(messages: DataFrame) -> DataFrame:
     """(id, root): a post's own id for what belongs to it, else the top of the reply chain; a lost parent is the root.
 
-    On a cycle, pointers never come to rest; such messages go through a walk that stops at the first message seen twice.
+    On a cycle, pointers never come to rest: a member is its own root, and a tail has the first member on its way.
     Duplicated ids follow their first reply_to by value."""
     one = messages.groupBy("id").agg(F.min("reply_to").alias("reply_to"), F.min("post_id").alias("post_id"))
     up = one.withColumn("to", F.coalesce("post_id", "reply_to", "id")).withColumn("done", F.col("post_id").isNotNull() | F.col("reply_to").isNull())
     # a pointer rests when what it points at is a top, a post's member counts by its own reply_to on the way of others
-    jump = one.select("id", F.coalesce("reply_to", "id").alias("to"), F.col("reply_to").isNull().alias("top"))
-    base = jump
-    for _ in range(math.ceil(math.log2(WALK)) + 1):
-        nxt = jump.select(F.col("id").alias("j"), F.col("to").alias("j_to"), F.col("top").alias("j_top"))
-        # null j: the parent is not in the log
-        joined = jump.join(nxt, F.col("to") == F.col("j"), "left")
-        jump = cut(joined.select("id", F.coalesce(F.when(~F.col("top"), F.col("j_to")), F.col("to")).alias("to"), (F.col("top") | F.coalesce("j_top", F.lit(True))).alias("top")))
-        if jump.filter(~F.col("top")).isEmpty():
-            break
-    rest = jump.filter(~F.col("top")).select("id")
+    base = one.select("id", F.coalesce("reply_to", "id").alias("to"), F.col("reply_to").isNull().alias("top"))
+    jump, left, span = _settle(base)
     found = jump.filter("top").select("id", F.col("to").alias("root"))
-    if not rest.isEmpty():
-        walk = rest.select("id", F.col("id").alias("cur"), F.array("id").alias("path"))
-        parent = base.select(F.col("id").alias("b"), "to")
-        ended = None
-        for _ in range(WALK):
-            step = cut(walk.join(parent, F.col("cur") == F.col("b")).select("id", F.col("to").alias("cur"), "path"))
-            again = F.array_contains("path", F.col("cur"))
-            stop = step.filter(again).select("id", F.col("cur").alias("root"))
-            ended = stop if ended is None else ended.unionByName(stop)
-            walk = step.filter(~again).withColumn("path", F.array_append("path", F.col("cur")))
-            if walk.isEmpty():
-                break
-        found = found.unionByName(ended)
-    return up.select("id", F.when(F.col("done"), F.col("to")).alias("own")).join(found, "id").select("id", F.coalesce("own", "root").alias("root"))
+    if left:
+        ring = jump.filter(~F.col("top")).select("id", "to")
+        rest = base.join(ring.select("id"), "id", "left_semi")
+        # pointers that have gone as many steps as messages are left have passed every tail, and reach each cycle's members
+        while span < left:
+            ring = cut(ring.join(ring.select(F.col("id").alias("j"), F.col("to").alias("j_to")), F.col("to") == F.col("j")).select("id", F.col("j_to").alias("to")))
+            span *= 2
+        on = ring.select(F.col("to").alias("member")).distinct()
+        ends = rest.join(on, F.col("id") == F.col("member"), "left").select("id", F.coalesce("member", "to").alias("to"), F.col("member").isNotNull().alias("top"))
+        found = found.unionByName(_settle(cut(ends))[0].select("id", F.col("to").alias("root")))
+    return up.select("id", F.when(F.col("done"), F.col("to")).alias("own")).join(found, "id", "left").select("id", F.coalesce("own", "root").alias("root"))
 
 
 def with_root(messages: DataFrame) -> DataFrame:
