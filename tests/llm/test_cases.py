@@ -109,6 +109,16 @@ def test_join(docs, none):
     assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
 
 
+def test_join_rows_without_id_take_nothing_from_others(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (1, text), (2, text + " more"), (None, "something else"), (None, None), (3, "third text"), (3, "third text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.op9(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, None: None}
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in ngram_join.distinct_documents(docs).collect())
+    assert left == [(0, ""), (0, "something else"), (0, text), (1, text), (3, "third text")]
+
+
 def test_mixing(docs, none):
     got = mixing.op2(docs).collect()
     assert len(got) == len(ROWS) and all(r["taken"] <= 2 * r["size"] for r in got)

@@ -223,19 +223,21 @@ def linked(a: bytes, b: bytes) -> bool:
 _DESCRIBED = pa.schema([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64())), ("point", pa.binary())])
 
 
-def _describe(texts: list) -> list:
+def _describe(rows: list) -> list:
+    """rows: (named, text). Keys and point go to the first row of a set in a task that has an id."""
     task = TaskContext.get()
     seen = _seen.setdefault(task.taskAttemptId() if task else -1, set())
     if len(_seen) > 64:
         for k in list(_seen)[:-8]:
             del _seen[k]
     cols: list[list] = [[] for _ in _DESCRIBED]
-    for t in texts:
-        g = shingles(t)
+    for row in rows:
+        g = shingles(row["text"])
         h1 = int(_mix(g, 11).sum().view(np.int64)) if len(g) else 0
         h2 = int(_mix(g, 12).sum().view(np.int64)) if len(g) else 0
-        again = (h1, h2) in seen or not len(g)
-        seen.add((h1, h2))
+        again = (h1, h2) in seen or not len(g) or not row["named"]
+        if row["named"]:
+            seen.add((h1, h2))
         for c, v in zip(cols, (len(g), h1, h2, None if again else group_keys(g), None if again else point(g))):
             c.append(v)
     return cols
@@ -343,7 +345,7 @@ def _open(rows: DataFrame) -> DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of docs: id, n_shingles, component."""
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    d = named.select("id", over_texts(_describe, _DESCRIBED)(F.col("text")).alias("d")).select("id", "d.*")
+    d = named.select("id", over_texts(_describe, _DESCRIBED)(F.struct(F.col("id").isNotNull().alias("named"), "text")).alias("d")).select("id", "d.*")
     d = keep(d)
     # equal sets are one node: the least id
     full = d.filter("n > 0 and id is not null").select("id", "h1", "h2")
@@ -422,7 +424,8 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     gone = got.filter("id <> component").select(F.col("id").alias("gone_id")).distinct()
     out = docs.join(small(keep(gone)), F.col(key) == F.col("gone_id"), "left_anti")
     rows = got.agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).collect()[0]
-    return out if rows["n"] == rows["d"] else out.dropDuplicates([key])
+    # rows without an id are documents each
+    return out if rows["n"] == rows["d"] else out.filter(F.col(key).isNotNull()).dropDuplicates([key]).union(out.filter(F.col(key).isNull()))
 
 
 def op9(docs: DataFrame) -> DataFrame:
