@@ -221,6 +221,24 @@ def test_tree_finds_what_a_scan_finds():
     assert want and got == want
 
 
+def test_pairs_across_tiles_are_ranked_among_themselves(spark):
+    # x and y may link across tiles, and each has eight likelier neighbours, as many as a round keeps, in its own tile
+    def moved(p, *steps):
+        p = p.copy()
+        for at, to, by in steps:
+            p[at], p[to] = p[at] - by, p[to] + by
+        return p
+
+    x = np.array([20] * 5 + [0] * 11, np.uint8)
+    a, y = moved(x, (0, 5, 6)), moved(x, (1, 6, 7))
+    b = moved(y, (2, 7, 6))
+    placed = [(0, x), *[(1, b)] * 8, *[(0, a)] * 8, (1, y)]
+    rows = [(7, 0, 1, tile, k, 100, bytearray(p.tobytes()), k) for k, (tile, p) in enumerate(placed)]
+    df = spark.createDataFrame(rows, "key long, i int, j int, mine int, node long, n long, point binary, component long")
+    assert [tuple(r) for r in ngram_join._search(df, None).collect()] == [(0, 17, True)]
+    assert [tuple(r) for r in ngram_join._search(df, 8).collect()] == [(0, 17, True)]
+
+
 # ---- mixing, packing, sharding
 
 

@@ -175,10 +175,11 @@ class CountTree:
             ok[some] = np.minimum(high[a[some]], high[b[some]]).sum(1) >= least_overlap(low_n[a[some]] + low_n[b[some]])
         return ok
 
-    def pairs(self, most: int | None = None) -> tuple[np.ndarray, bool]:
+    def pairs(self, most: int | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
         """Pairs of rows (as given) that may link across components, shape (k, 2); and whether these are all.
 
-        most: for each row no more than so many pairs, those of the highest bound on their similarity."""
+        side: only pairs of rows of different sides. most: for each row no more than so many of these pairs, those of the
+        highest bound on their similarity."""
         out = []
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -197,6 +198,8 @@ class CountTree:
                 if fine.any():
                     stack.append((level - 1, x[fine], y[fine]))
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        if side is not None:
+            found = found[side[found[:, 0]] != side[found[:, 1]]]
         if most is None or len(found) <= most:
             return found, True
         back = np.empty_like(self.order)
@@ -310,9 +313,8 @@ def _search(rows: DataFrame, most: int | None) -> DataFrame:
         for t in groups(batches):
             node, n, comp, mine = (t.column(c).to_numpy() for c in ("node", "n", "component", "mine"))
             points = fold(t.column("point").to_pylist())
-            found, whole = CountTree(points, n, comp).pairs(most)
-            if t.column("i")[0].as_py() != t.column("j")[0].as_py():
-                found = found[mine[found[:, 0]] != mine[found[:, 1]]]
+            across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+            found, whole = CountTree(points, n, comp).pairs(most, mine if across else None)
             a, b = node[found[:, 0]], node[found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
 
