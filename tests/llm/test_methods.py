@@ -151,6 +151,15 @@ def test_licenses_match_exact_containment(spark):
     assert want and got == want
 
 
+def test_toxicity_trains_alike_at_every_size():
+    r = np.random.default_rng(3)
+    for n in (300, 20_500):  # windows
+        texts = [f"word{k % 50} {'dimwitted' if k % 4 == 0 else 'kind'}{r.integers(0, 9)}" for k in range(n)]
+        labels = [int(k % 4 == 0) for k in range(n)]
+        by_default, full = toxicity.train(texts, labels), toxicity.train(texts, labels, epochs=30)
+        assert by_default.base == full.base and np.array_equal(by_default.value, full.value)
+
+
 # ---- join
 
 

@@ -33,7 +33,8 @@ MAX_TOXIC, MAX_CLEAN = 1200, 2400
 WINDOW = 32
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 10
+#: Times that training goes over its windows, however many there are.
+EPOCHS = 30
 #: Windows per step at most.
 BATCH = 512
 #: Adagrad: rate, weight decay, first squared gradient (the larger, the less a rare n-gram moves).
@@ -121,7 +122,7 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, seed:
     bias, acc, acc_soft, acc_bias = BIAS, np.full(BUCKETS, START), 1.0, 1.0
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     active = np.ones(len(y), bool)
-    epochs = epochs or (EPOCHS if len(y) > 20_000 else 3 * EPOCHS)
+    epochs = epochs or EPOCHS
     for epoch in range(epochs):
         order = rng.permutation(np.flatnonzero(active))
         seen = np.zeros(len(y))
