@@ -119,6 +119,41 @@ def test_join_rows_without_id_take_nothing_from_others(spark):
     assert left == [(0, ""), (0, "something else"), (0, text), (1, text), (3, "third text")]
 
 
+LONG = " ".join(f"w{k}" for k in range(60))
+
+
+def groups_of(spark, rows, kind="long"):
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").coalesce(1)
+    return {r["doc_id"]: r["component_id"] for r in ngram_join.op9(docs).collect()}
+
+
+def test_join_null_id_first_in_its_task(spark):
+    assert groups_of(spark, [(None, LONG), (5, LONG), (7, LONG + " more")]) == {None: None, 5: 5, 7: 5}
+
+
+def test_join_an_id_of_two_texts_links_by_both(spark):
+    other = " ".join(f"v{k}" for k in range(60))
+    assert groups_of(spark, [(5, LONG), (5, other), (7, LONG + " more"), (9, other + " more"), (11, "alone here")]) == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+def test_join_ids_may_be_strings(spark):
+    assert groups_of(spark, [("b", LONG), ("a", LONG + " more"), ("c", None)], "string") == {"b": "a", "a": "a", "c": "c"}
+
+
+def test_distinct_documents_keeps_what_has_no_id_and_any_column_name(spark):
+    rows = [(None, "one text", 1, 1), (None, "another text", 2, 2), (3, LONG, 3, 3), (3, LONG, 4, 4), (8, LONG + " more", 5, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id long, least_hash int")
+    left = ngram_join.distinct_documents(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] for r in left.collect()) == sorted(["one text", "another text", LONG])
+
+
+def test_join_a_third_of_rows_under_one_id(spark):
+    rows = [(1, LONG)] * 30 + [(1, f"text number {k} of the same id") for k in range(30)] + [(k, f"text number {k} of the same id") for k in range(2, 9)] + [(50, "no one else")]
+    got = groups_of(spark, rows)
+    assert got == {1: 1, **{k: 1 for k in range(2, 9)}, 50: 50}
+
+
 def test_mixing(docs, none):
     got = mixing.op2(docs).collect()
     assert len(got) == len(ROWS) and all(r["taken"] <= 2 * r["size"] for r in got)

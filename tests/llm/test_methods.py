@@ -163,11 +163,11 @@ def test_toxicity_trains_alike_at_every_size():
 # ---- join
 
 
-def brute_components(texts):
+def brute_components(texts, shingle=4, percent=85):
     sets = {}
     for i, t in texts:
         w = t.encode().translate(ngram_join._LOWER).split()
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
 
     def find(i):
@@ -177,7 +177,7 @@ def brute_components(texts):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -195,29 +195,42 @@ def near_copies(n, seed, words=60, edits=3):
     return out
 
 
-def test_join_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 20)  # so that keys are cut into tiles here
-    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
-    monkeypatch.setattr(ngram_join, "OFTEN", 5)  # and some keys count as met often
-    monkeypatch.setattr(ngram_join, "COPIES", 3)  # and some sets count as having many copies
+@pytest.fixture(scope="module")
+def listed():
     texts = [t for (t,) in rows(f"select text from {DOCS} order by doc_id limit 120")]
     texts += near_copies(90, 1) + near_copies(40, 2, 300, 12) + near_copies(30, 3, 12, 2) + ["a b c", "A B c", "a b", "", "a b c d e f g", "a b c d e f g h"] + ["one text that has many copies here"] * 9
-    listed = list(enumerate(texts))
+    texts += near_copies(60, 4, 80, 14) + near_copies(30, 5, 40, 6)  # many just under the threshold
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("shingle, percent", [(4, 85), (5, 80), (2, 100)])
+def test_join_by_brute_force(spark, monkeypatch, listed, shingle, percent):
+    monkeypatch.setattr(ngram_join, "TILE", 8)  # so that keys are cut into tiles here
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
+    monkeypatch.setattr(ngram_join, "OFTEN", 5)  # and some keys count as met often
+    monkeypatch.setattr(ngram_join, "LAYERS", 1)  # and trees need further rounds
+    monkeypatch.setattr(ngram_join, "EDGES", 20)  # and links fill several tasks
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.join(spark.createDataFrame(listed, "doc_id long, text string"), shingle=shingle, percent=percent).collect()}
+    assert got == brute_components(listed, shingle, percent)
+
+
+def test_op9_by_brute_force(spark, listed):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.op9(spark.createDataFrame(listed, "doc_id long, text string")).collect()}
     assert got == brute_components(listed)
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
 @settings(max_examples=60, deadline=None)
-@given(st.integers(7, 400), st.integers(0, 10**6))
-def test_linked_sets_share_a_key(n, seed):
+@given(st.integers(1, 400), st.integers(0, 10**6))
+def test_linked_sets_share_a_key(percent, n, seed):
     r = np.random.default_rng(seed)
     base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-    most = int(len(base) * 0.16)
-    a, b = (np.unique(np.concatenate([np.delete(base, r.choice(len(base), r.integers(0, most // 2 + 1), replace=False)), r.integers(0, 2**63, r.integers(0, most // 4 + 1)).astype(np.uint64)])) for _ in "ab")
-    if ngram_join.linked(a.tobytes(), b.tobytes()):
-        assert np.intersect1d(ngram_join.group_keys(a), ngram_join.group_keys(b)).size or np.array_equal(a, b)
+    most = int(len(base) * (100 - percent) / 100) + 1
+    a, b = (np.unique(np.concatenate([np.delete(base, r.choice(len(base), min(len(base) - 1, r.integers(0, most // 2 + 1)), replace=False)), r.integers(0, 2**63, r.integers(0, most // 4 + 1)).astype(np.uint64)])) for _ in "ab")
+    if ngram_join.linked(a.tobytes(), b.tobytes(), percent):
+        assert np.intersect1d(ngram_join.group_keys(a, percent), ngram_join.group_keys(b, percent)).size or np.array_equal(a, b)
         p = ngram_join.fold([ngram_join.point(a), ngram_join.point(b)])
-        assert np.minimum(p[0], p[1]).sum() >= ngram_join.least_overlap(len(a) + len(b))
+        assert np.minimum(p[0], p[1]).sum(dtype=int) >= ngram_join.least_overlap(len(a) + len(b), percent)
 
 
 def test_tree_finds_what_a_scan_finds():
@@ -225,27 +238,53 @@ def test_tree_finds_what_a_scan_finds():
     p = r.integers(0, 6, (300, 16)).astype(np.int32)
     p[150:] = np.maximum(0, p[:150] + r.integers(-1, 2, (150, 16)))
     n, c = p.sum(1), r.integers(0, 280, 300)
-    got = {tuple(sorted(x)) for x in ngram_join.CountTree(p, n, c).pairs()[0].tolist()}
-    want = {(a, b) for a, b in itertools.combinations(range(300), 2) if c[a] != c[b] and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b]) and np.minimum(p[a], p[b]).sum() >= ngram_join.least_overlap(n[a] + n[b])}
+    got = {tuple(sorted(x)) for x in ngram_join.CountTree(p, n, c, 85).pairs().tolist()}
+    want = {(a, b) for a, b in itertools.combinations(range(300), 2) if c[a] != c[b] and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b]) and np.minimum(p[a], p[b]).sum() >= ngram_join.least_overlap(n[a] + n[b], 85)}
     assert want and got == want
 
 
-def test_pairs_across_tiles_are_ranked_among_themselves(spark):
-    # x and y may link across tiles, and each has eight likelier neighbours, as many as a round keeps, in its own tile
-    def moved(p, *steps):
-        p = p.copy()
-        for at, to, by in steps:
-            p[at], p[to] = p[at] - by, p[to] + by
-        return p
-
-    x = np.array([20] * 5 + [0] * 11, np.uint8)
-    a, y = moved(x, (0, 5, 6)), moved(x, (1, 6, 7))
-    b = moved(y, (2, 7, 6))
-    placed = [(0, x), *[(1, b)] * 8, *[(0, a)] * 8, (1, y)]
-    rows = [(7, 0, 1, tile, k, 100, bytearray(p.tobytes()), k) for k, (tile, p) in enumerate(placed)]
-    df = spark.createDataFrame(rows, "key long, i int, j int, mine int, node long, n long, point binary, component long")
-    assert [tuple(r) for r in ngram_join._search(df, None).collect()] == [(0, 17, True)]
-    assert [tuple(r) for r in ngram_join._search(df, 8).collect()] == [(0, 17, True)]
+def tree_rows(placed, keys=lambda k: [7]):
+    """(tile, point, component) as rows of one tree over tiles 0 and 1, or 0 alone."""
+    j = max(t for t, *_ in placed)
+    return [(7, 0, j, tile, k, 100, bytearray(p.tobytes()), c, keys(k)) for k, (tile, p, c) in enumerate(placed)]
+
+
+TREE = "key long, i long, j long, tile long, node long, n long, point binary, component long, keys array<long>"
+
+
+def test_a_body_gives_a_forest_and_not_its_pairs(spark):
+    p = np.array([10] * 10 + [0] * 6, np.uint8)
+    df = spark.createDataFrame(tree_rows([(0, p, k) for k in range(120)]), TREE)
+    got = [tuple(r) for r in ngram_join._search(df, 1, 85).collect()]
+    edges = [r[3:] for r in got if r[3] is not None]
+    assert len(edges) == 119 and len(got) == 120  # a spanning tree, and word that there was more
+    assert not ngram_join.roots(np.array([a for a, _ in edges]), np.array([b for _, b in edges]), 120).any()
+    assert len(ngram_join._search(df, 2, 85).filter("a is not null").collect()) == 2 * 119
+    one = spark.createDataFrame(tree_rows([(0, p, 3) for k in range(120)]), TREE)
+    assert ngram_join._search(one, 1, 85).count() == 0
+
+
+def test_pairs_across_tiles_only(spark):
+    p = np.array([10] * 10 + [0] * 6, np.uint8)
+    df = spark.createDataFrame(tree_rows([(0, p, 0), (0, p, 1), (1, p, 2), (1, p[::-1], 3)]), TREE)
+    assert {tuple(r)[3:] for r in ngram_join._search(df, 99, 85).collect()} == {(0, 2), (1, 2)}
+
+
+def test_a_pair_is_looked_at_under_its_least_shared_key(spark):
+    p = np.array([10] * 10 + [0] * 6, np.uint8)
+    df = spark.createDataFrame(tree_rows([(0, p, 0), (0, p, 1), (0, p, 2), (0, p, 3)], lambda k: [[3, 7], [3, 7], [5, 7], [7]][k]), TREE)
+    assert {tuple(r)[3:] for r in ngram_join._search(df, 99, 85).collect()} == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_roots_are_least_connected_nodes(edges):
+    parent = list(range(31))
+    for _ in edges:
+        for a, b in edges:
+            parent = [min(parent[a], parent[b]) if x in (parent[a], parent[b]) else x for x in parent]
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    assert ngram_join.roots(e[:, 0], e[:, 1], 31).tolist() == parent
 
 
 # ---- mixing, packing, sharding

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document is the set of its distinct word 4-grams, hashed. Two documents link when 100 * intersection >= 85 * union.
+A document is the set of its distinct word shingles, hashed. Two documents link when 100 * intersection >= percent * union.
 
 Hashed tokens fall into groups. Counts per group make a document a point; the overlap of two documents is at most the sum
 of the smaller coordinates. R-trees over points prune whole boxes by the same bound (with the boxes' upper corners), and
@@ -8,17 +8,21 @@ pairs that survive are verified on their token sets.
 
 Which documents meet in a tree: sets of similar size are cut into more groups than linked sets can differ in, so linked
 documents have at least one group with the same, non-empty content (size classes; groups found empty in one document are
-made up for by spare groups, or by a second cut). A key per group's content brings them together. Large bodies of near
-copies collapse first: each document is verified against the least document of its keys, and trees prune boxes whose
-documents are connected already; so a body of near copies costs its size, not its square. A key met by more than TILE
-documents is cut into tiles, and every pair of tiles is searched, so that no task holds an unbounded group.
-
-Equal sets are one node throughout. No link is lost: all pairs that share a key are either connected by verified links,
-or ruled out by the bound, or verified.
-
-Cases: null texts and texts without words have no shingle, link with nothing and are their own component; texts of one
-to three words have one shingle, the whole sequence; rows with equal doc_id count as one document; rows with a null
-doc_id take part under no id: their component is null.
+made up for by spare groups, or by a second cut). A key per group's content brings them together. Each document is first
+verified against the least one of its keys, which connects most bodies of copies. Trees then search the keys whose
+documents are in several components still. A tree looks at a pair only if its key is the least one that the two share,
+skips what is connected, and returns at most LAYERS spanning forests of candidates: its rows follow its documents, not
+their square. Trees that had more run again with more layers, over the components found meanwhile, until none has; so
+every pair that shares a key is connected by verified links, ruled out by the bound, or verified. A key met by more than
+TILE documents is cut into tiles by component: tiles of one component are never searched against each other.
+
+Equal sets are one node throughout, named by a 64-bit hash of the set.
+
+Cases: null texts and texts without words have no shingle, link with nothing and are their own component; texts of fewer
+words than a shingle have one, the whole sequence; ids may be of any type that Spark can order; rows with equal ids are
+one document, which links by the text of each of its rows; rows with a null id take part under no id: their component is
+null, and they neither link nor lend keys to others; an empty table gives an empty result. Columns of docs other than id
+and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,27 +37,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep, over_texts, small
+from .common import fresh, keep, over_texts, small
 
-SHINGLE, PERCENT = 4, 85
+#: Words of a shingle, and the similarity from which documents link, unless a caller says otherwise.
+SHINGLE, PERCENT = 5, 80
+#: The same for the query op9.
+OP9 = (4, 85)
 #: Growth of size classes, spare groups per group, cuts tried.
 CLASS_GROWTH, SPARE, CUTS = 1.5, 0.1, 6
-#: Documents of one key that one tree holds at most.
+#: Documents of one key that one tile holds.
 TILE = 2048
 #: Entries of a tree node.
 FAN = 16
-#: Pairs per document and tree that first rounds verify; the last round verifies all that are left.
-ROUNDS = (8,)
+#: Spanning forests of candidates that a tree returns in the first round, and how much more in each further one.
+LAYERS, MORE = 4, 8
 #: One document in so many is drawn to find keys that are met often, and how often that is.
 SAMPLE, OFTEN = 64, 16
-#: Copies of a set from which it is sent to its rows.
-COPIES = 1000
+#: Edges that one task contracts.
+EDGES = 1_000_000
 #: Groups of a point at most.
 GROUPS = 512
 MEMORY = 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_B, _C = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_A = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 _seen: dict[int, set] = {}
 
@@ -74,41 +82,46 @@ def _word(w: bytes) -> int:
     return h
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word 4-grams."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word n-grams."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    if n < SHINGLE:
+    if n < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
     h = np.fromiter(map(_word, words), np.uint64, n)
-    g = ((h[:-3] * _A ^ h[1:-2]) * _B ^ h[2:-1]) * _C ^ h[3:]
+    g = h[: n - size + 1] * _A
+    for k in range(1, size):
+        g = (g ^ h[k : n - size + 1 + k]) * (_B if k % 2 else _C)
     return np.unique(_mix(g))
 
 
-_classes: list[tuple[int, int, int, int]] = []
+_classes: dict[int, list[tuple[int, int, int, int]]] = {}
 
 
-def size_class(n: int) -> int:
-    """The class of n shingles; _classes gets (least, most, groups, spare)."""
-    while not _classes or _classes[-1][1] < 2 * n + 10:
-        low = _classes[-1][1] + 1 if _classes else 1
-        high = int(low * CLASS_GROWTH) if _classes else 6
-        differ = 2 * high * (100 - PERCENT) // (100 + PERCENT)
+def size_class(n: int, percent: int = PERCENT) -> int:
+    """The class of n shingles; _classes[percent] gets (least, most, groups, spare)."""
+    classes = _classes.setdefault(percent, [])
+    while len(classes) < 2 or classes[-2][1] < n:  # the next class is there, too
+        low = classes[-1][1] + 1 if classes else 1
+        high = int(low * CLASS_GROWTH) if classes else 99 // max(1, 100 - percent)
+        differ = 2 * high * (100 - percent) // (100 + percent)
         spare = -(-(differ + 1) * SPARE // 1)
-        _classes.append((low, high, differ + 1 + int(spare), int(spare)))
-    return bisect_right(_classes, n, key=lambda c: c[0]) - 1
+        classes.append((low, high, differ + 1 + int(spare), int(spare)))
+    return bisect_right(classes, n, key=lambda c: c[0]) - 1
+
 
+def group_keys(g: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """A key per non-empty group, for each class in which the set can meet a linked one.
 
-def group_keys(g: np.ndarray) -> np.ndarray:
-    """A key per non-empty group, for each class in which the set can meet a linked one."""
+    In the first class sets are so small that linked ones are equal."""
     n = len(g)
-    own = size_class(n)
+    own = size_class(n, percent)
     out = []
     for c in (own, own + 1):
-        low, high, k, spare = _classes[c]
-        if c > own and 100 * n < PERCENT * low or high <= 6:
+        low, high, k, spare = _classes[percent][c]
+        if c == 0 or c > own and 100 * n < percent * low:
             continue
         content = _mix(g, 99)
         for cut in range(CUTS):
@@ -135,23 +148,25 @@ def point(g: np.ndarray) -> bytes:
 
 
 def fold(points: list[bytes]) -> np.ndarray:
-    """Points over the fewest groups among them, as rows."""
+    """Points over the fewest groups among them, as rows, in the narrowest type that holds them."""
     rows = [np.frombuffer(p[4:], "<u4") if p[:4] == b"wide" else np.frombuffer(p, np.uint8) for p in points]
     least = min(map(len, rows))
-    return np.stack([p if len(p) == least else p.reshape(-1, least).sum(0) for p in rows]).astype(np.int32)
+    out = np.stack([p if len(p) == least else p.reshape(-1, least).sum(0, dtype=np.int64) for p in rows])
+    return out.astype(np.uint8 if out.max(initial=0) < 256 else np.int32)
 
 
-def least_overlap(total):
+def least_overlap(total, percent: int = PERCENT):
     """The least intersection with which sets of sizes summing to total link."""
-    return -(-PERCENT * total // (100 + PERCENT))
+    return -(-percent * total // (100 + percent))
 
 
 class CountTree:
     """A bulk-loaded R-tree over count vectors. Boxes keep upper corners, sizes and whether one component holds all."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int = PERCENT):
         # tiles by component, then size, then the coordinate that varies most
         lead = points[:, np.argmax(points.var(0))] if len(points) else np.zeros(0)
+        self.percent = percent
         self.order = np.lexsort((lead, sizes, component))
         self.points, self.sizes, self.component = points[self.order], sizes[self.order], component[self.order]
         self.levels = []
@@ -167,27 +182,24 @@ class CountTree:
     def _open(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of boxes (level -1: points) may hold a link between two components."""
         high, low_n, high_n, low_c, high_c = self.levels[level] if level >= 0 else (self.points, self.sizes, self.sizes, self.component, self.component)
-        ok = (100 * high_n[a] >= PERCENT * low_n[b]) & (100 * high_n[b] >= PERCENT * low_n[a])
+        ok = (100 * high_n[a] >= self.percent * low_n[b]) & (100 * high_n[b] >= self.percent * low_n[a])
         ok &= ~((low_c[a] == high_c[a]) & (low_c[b] == high_c[b]) & (low_c[a] == low_c[b]))
         at = np.flatnonzero(ok)
         for lo in range(0, len(at), 8192):
             some = at[lo : lo + 8192]
-            ok[some] = np.minimum(high[a[some]], high[b[some]]).sum(1) >= least_overlap(low_n[a[some]] + low_n[b[some]])
+            ok[some] = np.minimum(high[a[some]], high[b[some]]).sum(1, dtype=np.int64) >= least_overlap(low_n[a[some]] + low_n[b[some]], self.percent)
         return ok
 
-    def pairs(self, most: int | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-        """Pairs of rows (as given) that may link across components, shape (k, 2); and whether these are all.
-
-        side: only pairs of rows of different sides. most: for each row no more than so many of these pairs, those of the
-        highest bound on their similarity."""
-        out = []
+    def chunks(self):
+        """Arrays of pairs of rows (as given), shape (k, 2), that may link across components: all of them, in chunks of bounded size."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
             ok = self._open(level, a, b)
             a, b = a[ok], b[ok]
             if level < 0:
-                out.append(np.stack([self.order[a], self.order[b]], 1))
+                if len(a):
+                    yield np.stack([self.order[a], self.order[b]], 1)
                 continue
             below = len(self.levels[level - 1][0]) if level else len(self.points)
             step = np.arange(FAN)
@@ -197,37 +209,97 @@ class CountTree:
                 fine = (x < below) & (y < below) & ((x < y) if level == 0 else (x <= y))
                 if fine.any():
                     stack.append((level - 1, x[fine], y[fine]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        if side is not None:
-            found = found[side[found[:, 0]] != side[found[:, 1]]]
-        if most is None or len(found) <= most:
-            return found, True
-        back = np.empty_like(self.order)
-        back[self.order] = np.arange(len(back))
-        a, b = back[found[:, 0]], back[found[:, 1]]
-        bound = np.concatenate([np.minimum(self.points[a[lo : lo + 8192]], self.points[b[lo : lo + 8192]]).sum(1) for lo in range(0, len(a), 8192)])
-        score = -bound / (self.sizes[a] + self.sizes[b] - bound)
-        keep_ = np.zeros(len(found), bool)
-        for side in (a, b):
-            order = np.lexsort((score, side))
-            first = np.concatenate([[0], np.flatnonzero(np.diff(side[order])) + 1])
-            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            keep_[order[rank < most]] = True
-        return found[keep_], bool(keep_.all())
-
-
-def linked(a: bytes, b: bytes) -> bool:
+
+    def pairs(self) -> np.ndarray:
+        """All pairs of chunks()."""
+        return np.concatenate([np.zeros((0, 2), np.int64), *self.chunks()])
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least one that edges (a, b) connect it with."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def lesser_keys(key: int, held: pa.ListArray) -> np.ndarray:
+    """A row of bits per document for the keys below `key` that two of them hold: if two rows have a bit in common, a lesser
+    key is shared and its tree looks at the pair."""
+    at = np.repeat(np.arange(len(held)), np.diff(np.asarray(held.offsets)))
+    values = np.asarray(held.flatten())
+    below = values < key
+    _, code, count = np.unique(values[below], return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    some = count[code] > 1
+    bits = np.zeros((len(held), int((count > 1).sum())), bool)
+    bits[at[below][some], shared[code[some]]] = True
+    return np.packbits(bits, axis=1)
+
+
+class Forests:
+    """Up to `layers` spanning forests of candidates over the components of a tree; `whole` is false once a pair fits in none."""
+
+    def __init__(self, component: np.ndarray, layers: int):
+        self.component, self.whole, self.a, self.b = component, True, [], []
+        n = int(component.max(initial=-1)) + 1
+        self.root = [np.arange(n) for _ in range(layers)]
+        self.edges: list[list[tuple[int, int]]] = [[] for _ in range(layers)]
+
+    def add(self, pairs: np.ndarray) -> None:
+        x, y = self.component[pairs[:, 0]], self.component[pairs[:, 1]]
+        for k, root in enumerate(self.root):
+            left = np.zeros(len(pairs), bool)
+            parent: dict[int, int] = {}
+
+            def find(i: int) -> int:
+                while parent.get(i, i) != i:
+                    parent[i] = parent.get(parent[i], parent[i])
+                    i = parent[i]
+                return i
+
+            apart = root[x] != root[y]
+            left[~apart] = True
+            for i in np.flatnonzero(apart).tolist():
+                u, v = find(int(root[x[i]])), find(int(root[y[i]]))
+                if u == v:
+                    left[i] = True
+                    continue
+                parent[max(u, v)] = min(u, v)
+                self.edges[k].append((int(x[i]), int(y[i])))
+                self.a.append(int(pairs[i, 0]))
+                self.b.append(int(pairs[i, 1]))
+            if parent:
+                e = np.array(self.edges[k])
+                self.root[k] = roots(e[:, 0], e[:, 1], len(root))
+            pairs, x, y = pairs[left], x[left], y[left]
+            if not len(pairs):
+                return
+        self.whole = False
+
+
+def linked(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     """Whether two stored sets link, exactly."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     both = len(x) + len(y) - len(np.union1d(x, y))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-_DESCRIBED = pa.schema([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64())), ("point", pa.binary())])
+def _node(g: np.ndarray) -> int:
+    return int(_mix(g, 11).sum().view(np.int64)) if len(g) else 0
 
 
-def _describe(rows: list) -> list:
-    """rows: (named, text). Keys and point go to the first row of a set in a task that has an id."""
+_DESCRIBED = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("point", pa.binary())])
+
+
+def _describe(rows: list, shingle: int, percent: int) -> list:
+    """rows: (id as text, text). Keys and point go to the first row of an id and set in a task; rows without an id have none."""
     task = TaskContext.get()
     seen = _seen.setdefault(task.taskAttemptId() if task else -1, set())
     if len(_seen) > 64:
@@ -235,44 +307,96 @@ def _describe(rows: list) -> list:
             del _seen[k]
     cols: list[list] = [[] for _ in _DESCRIBED]
     for row in rows:
-        g = shingles(row["text"])
-        h1 = int(_mix(g, 11).sum().view(np.int64)) if len(g) else 0
-        h2 = int(_mix(g, 12).sum().view(np.int64)) if len(g) else 0
-        again = (h1, h2) in seen or not len(g) or not row["named"]
-        if row["named"]:
-            seen.add((h1, h2))
-        for c, v in zip(cols, (len(g), h1, h2, None if again else group_keys(g), None if again else point(g))):
+        g = shingles(row["text"], shingle)
+        node = _node(g)
+        again = not len(g) or row["id"] is None or (row["id"], node) in seen
+        if not again:
+            seen.add((row["id"], node))
+        for c, v in zip(cols, (len(g), node, None if again else group_keys(g, percent), None if again else point(g))):
             c.append(v)
     return cols
 
 
-_SET = pa.schema([("tokens", pa.binary())])
+_SET = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+
+
+class Texts:
+    """Token sets by node, made again from the texts of those nodes that are asked for."""
+
+    def __init__(self, named: DataFrame, sets: DataFrame, shingle: int, percent: int):
+        """named: (id, text); sets: (node, first), first the least id of the set."""
+        self.named, self.sets, self.shingle, self.percent = named, sets, shingle, percent
+
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens) of nodes (node)."""
+        size = self.shingle
+
+        def made(texts: list) -> list:
+            sets = [shingles(t, size) for t in texts]
+            return [[_node(g) for g in sets], [g.astype("<u8").tobytes() for g in sets]]
+
+        nodes = small(keep(nodes.distinct()))
+        ids = small(keep(self.sets.join(nodes, "node").select(F.col("first").alias("id")).distinct()))
+        got = self.named.join(ids, "id", "left_semi").select(over_texts(made, _SET)(F.col("text")).alias("s")).select("s.*")
+        # an id may have other texts, too
+        return keep(got.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), which are written, those that link by their token sets."""
+        sets, percent = self.tokens(pairs.select(F.explode(F.array("a", "b")).alias("node"))), self.percent
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that link, by their token sets; texts: (id, text). Only the texts of the pairs are read on."""
-    pairs = keep(pairs)
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = keep(texts.join(small(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", over_texts(lambda ts: [[shingles(t).astype("<u8").tobytes() for t in ts]], _SET)(F.col("text"))["tokens"].alias("tokens")))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
+        def call(ta: pa.Array, tb: pa.Array) -> pa.Array:
+            return pa.array([linked(x, y, percent) for x, y in zip(ta.to_pylist(), tb.to_pylist())], pa.bool_())
 
-    def call(ta: pa.Array, tb: pa.Array) -> pa.Array:
-        return pa.array([linked(x, y) for x, y in zip(ta.to_pylist(), tb.to_pylist())], pa.bool_())
+        call.__annotations__ = {"ta": pa.Array, "tb": pa.Array, "return": pa.Array}
+        return keep(both.withColumn("ok", F.arrow_udf(call, "boolean").asNondeterministic()("ta", "tb")).filter("ok").select("a", "b"))
 
-    call.__annotations__ = {"ta": pa.Array, "tb": pa.Array, "return": pa.Array}
-    return keep(both.withColumn("ok", F.arrow_udf(call, "boolean").asNondeterministic()("ta", "tb")).filter("ok").select("a", "b"))
+
+def _contracted(edges: DataFrame, named: bool = False) -> DataFrame:
+    """Edges (a, b) as stars (the least node of what a task connects, each other node of it): at most as many, with the
+    same components. named: each least node comes with itself, too."""
+
+    def call(batches):
+        t = [x for x in batches if x.num_rows]
+        if not t:
+            return
+        t = pa.Table.from_batches(t)
+        node, code = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        root = roots(code[: t.num_rows], code[t.num_rows :], len(node))
+        rest = np.arange(len(node)) if named else np.flatnonzero(root != np.arange(len(node)))
+        for lo in range(0, len(rest), 50_000):
+            some = rest[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(node[root[some]]), pa.array(node[some])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(call, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the nodes of edges (a, b): component is the least id. Alternates large and small stars until
-    edges no longer change; each round is a few shuffles of the edges."""
+    """(node, component) of the nodes of edges (a, b), which are written: component is the least node.
+
+    Each task contracts up to EDGES edges to stars. Where that leaves more than one task holds, large and small stars
+    alternate until edges no longer change."""
+    n = edges.count()
+    if n > EDGES:
+        edges = keep(_contracted(edges.repartition(-(-n // EDGES))))
+        n = edges.count()
+    if n <= EDGES:
+        star = _contracted(edges.coalesce(1), named=True)
+    else:
+        star = _stars(edges)
+        star = star.unionByName(star.select("a", F.col("a").alias("b")).distinct())
+    return keep(star.select(F.col("b").alias("node"), F.col("a").alias("component")))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     last = None
     while True:
         edges = keep(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).collect()[0]
         if now == last or not now[0]:
-            break
+            return edges
         last = now
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -280,17 +404,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         met = large.join(low, "b")
         edges = met.select(F.col("m").alias("a"), "b").unionByName(met.filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-    star = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return star.unionByName(star.select(F.col("component").alias("id"), "component").distinct())
-
 
-_PAIR = "a long, b long, whole boolean"
 
+_FOUND = "key long, i long, j long, a long, b long"
 
-def _search(rows: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs of nodes, from rows (key, i, j, mine, node, n, point, component), a tree per (key, i, j).
 
-    most: pairs per node and tree, the likeliest; whole says whether the tree had no more."""
+def _search(rows: DataFrame, layers: int, percent: int) -> DataFrame:
+    """Candidate pairs of nodes, from rows (key, i, j, tile, node, n, point, component, keys): a tree per (key, i, j), which
+    pairs rows of tile i with rows of tile j. A row with null a and b says that the tree had more than its layers hold."""
 
     def groups(batches):
         """Whole groups, from batches sorted by group."""
@@ -311,124 +432,161 @@ def _search(rows: DataFrame, most: int | None) -> DataFrame:
 
     def call(batches):
         for t in groups(batches):
-            node, n, comp, mine = (t.column(c).to_numpy() for c in ("node", "n", "component", "mine"))
-            points = fold(t.column("point").to_pylist())
-            across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            found, whole = CountTree(points, n, comp).pairs(most, mine if across else None)
-            a, b = node[found[:, 0]], node[found[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
-
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(call, _PAIR)
+            node, n, tile = (t.column(c).to_numpy() for c in ("node", "n", "tile"))
+            _, comp = np.unique(t.column("component").to_numpy(), return_inverse=True)
+            if comp.max() == 0:
+                continue
+            key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+            bits, forests = None, Forests(comp, layers)
+            for found in CountTree(fold(t.column("point").to_pylist()), n, comp, percent).chunks():
+                if i != j:
+                    found = found[tile[found[:, 0]] != tile[found[:, 1]]]
+                if bits is None:
+                    bits = lesser_keys(key, pa.concat_arrays(t.column("keys").chunks))
+                found = found[~(bits[found[:, 0]] & bits[found[:, 1]]).any(1)]
+                forests.add(found)
+            a, b = node[forests.a], node[forests.b]
+            low, high = np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
+            if not forests.whole:
+                low, high = [*low, None], [*high, None]
+            for lo in range(0, len(low), 50_000):
+                x, y = pa.array(low[lo : lo + 50_000], pa.int64()), pa.array(high[lo : lo + 50_000], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(x), v, np.int64)) for v in (key, i, j)), x, y], names=["key", "i", "j", "a", "b"])
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(call, _FOUND)
+
+
+def _tiled(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (key, node, component, ...) with i, j and tile: a key of hot (key) is cut into tiles, and its rows come once per pair of
+    tiles that is to be searched. A component of more than TILE rows has tiles of its own, which are not paired with
+    each other; all other components share tiles."""
+    plain = rows.join(hot, "key", "left_anti").withColumns({c: F.lit(0).cast("long") for c in ("i", "j", "tile")})
+    if hot.isEmpty():
+        return plain
+    rows = rows.join(hot, "key")
+    size = rows.groupBy("key", "component").count()
+    size = size.withColumn("rest", F.sum(F.when(F.col("count") <= TILE, F.col("count")).otherwise(0)).over(W.partitionBy("key")))
+    size = keep(size.select("key", "component", (F.col("count") > TILE).alias("large"), F.ceil(F.col("count") / TILE).alias("parts"), F.ceil(F.greatest("rest", F.lit(1)) / TILE).alias("shared")))
+    own = F.xxhash64(F.lit("own"), "component", F.pmod(F.xxhash64("node"), F.col("parts")))
+    tile = F.when(F.col("large"), own).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    rows = keep(rows.join(size, ["key", "component"]).withColumn("tile", tile).drop("parts", "shared"))
+    tiles = keep(rows.select("key", "tile", F.when(F.col("large"), F.col("component")).alias("of")).distinct())
+    pairs = tiles.select("key", F.col("tile").alias("i"), F.col("of").alias("x")).join(tiles.select("key", F.col("tile").alias("j"), F.col("of").alias("y")), "key")
+    pairs = keep(pairs.filter((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).select("key", "i", "j"))
+    sides = pairs.withColumn("tile", F.col("i")).unionByName(pairs.filter("i <> j").withColumn("tile", F.col("j")))
+    return plain.unionByName(rows.drop("large").join(sides, ["key", "tile"]), allowMissingColumns=False)
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """(id, key, rep) of the keys that two documents share; rep is the least id of the key.
+    """(node, key, rep) of the keys that two nodes share; rep is the least node of the key.
 
-    Most keys have one document, so a window over each is the cheapest way. Keys that a sample shows to have very many
+    Most keys have one node, so a window over each is the cheapest way. Keys that a sample shows to have very many
     are aggregated before they are shuffled, and their few results sent to the rows; which way a key goes changes no
     result."""
-    drawn = keys.filter(F.pmod(F.xxhash64(F.lit("hot keys"), "id"), F.lit(SAMPLE)) == 0)
+    drawn = keys.filter(F.pmod(F.xxhash64(F.lit("hot keys"), "node"), F.lit(SAMPLE)) == 0)
     hot = small(keep(drawn.groupBy("key").count().filter(F.col("count") >= OFTEN).select("key")))
     w = W.partitionBy("key")
-    cold = keys.join(hot, "key", "left_anti").withColumn("rep", F.min("id").over(w)).withColumn("top", F.max("id").over(w)).filter("rep < top").select("id", "key", "rep")
+    cold = keys.join(hot, "key", "left_anti").withColumn("rep", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).filter("rep < top").select("node", "key", "rep")
     rows = keys.join(hot, "key")
-    reps = small(keep(rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep < top").drop("top")))
-    return cold.unionByName(rows.join(reps, "key").select("id", "key", "rep"))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """rows (key, node, component, ...) of keys whose documents are in several components, with the number and a checksum
-    of the key's documents. Aggregates first, so that a key with very many rows is counted where the rows are."""
-    g = rows.groupBy(F.col("key").alias("g")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("same"))
-    g = g.filter("low < high").select("g", "size", "same")
-    return rows.join(g, F.col("key") == F.col("g")).drop("g")
-
-
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of docs: id, n_shingles, component."""
-    named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    d = named.select("id", over_texts(_describe, _DESCRIBED)(F.struct(F.col("id").isNotNull().alias("named"), "text")).alias("d")).select("id", "d.*")
-    d = keep(d)
-    # equal sets are one node: the least id
-    full = d.filter("n > 0 and id is not null").select("id", "h1", "h2")
-    sets = keep(d.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.count("*").alias("copies")))
-    # sets with very many copies would fill one task of a join; they are few, so they are sent to the rows instead
-    often = small(sets.filter(F.col("copies") > COPIES).drop("copies"))
-    node = full.join(often, ["h1", "h2"]).unionByName(full.join(often, ["h1", "h2"], "left_anti").join(sets.filter(F.col("copies") <= COPIES).drop("copies"), ["h1", "h2"]))
-    node = keep(node.select("id", "node", "n"))
-    met = keep(_met(d.filter("keys is not null and id is not null").select("id", F.explode("keys").alias("key"))))
-    if met.isEmpty():
-        return _result(d, node, None)
-    of = node.select("id", "node")
-    # each document against the least one of its keys
-    star = met.filter("id <> rep").select("id", "rep").distinct()
-    star = star.join(of.withColumnRenamed("node", "x"), "id").join(of.select(F.col("id").alias("rep"), F.col("node").alias("y")), "rep").filter("x <> y")
-    star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    points = d.filter("point is not null").select("id", "point").join(node, "id").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"))
-    points = keep(points)
-    star = keep(star)
-    bounded = _bounded(star, points)
-    links, tested = _verified(bounded, named), star
-    # keys whose documents are in several components still: trees over them. Of keys with the same documents one stays.
+    reps = small(keep(rows.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").drop("top")))
+    return cold.unionByName(rows.join(reps, "key").select("node", "key", "rep"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """A row per row of docs: id, n_shingles, component (the least id reachable by links). percent: from 67 to 100."""
+    if not 67 <= percent <= 100 or shingle < 1:
+        raise ValueError("percent must lie between 67 and 100, shingle be 1 or more")
+    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    describe = over_texts(lambda rows: _describe(rows, shingle, percent), _DESCRIBED)
+    d = keep(named.select("id", describe(F.struct(F.col("id").cast("string").alias("id"), "text")).alias("d")).select("id", "d.*"))
+    have = d.filter("n > 0 and id is not null")
+    sets = keep(have.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    # the least id of sets that several rows have; all other rows are the first of theirs
+    many = small(keep(sets.filter("copies > 1").select("node", "first")))
+    texts = Texts(named, sets, shingle, percent)
+    rep = have.filter("keys is not null").join(many, "node", "left").filter("first is null or first = id").select("node", "n", "keys", "point")
+    # an id of several sets connects them
+    of = have.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").select("id", "a")
+    links = keep(have.join(small(keep(of)), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    met = keep(_met(rep.select("node", F.explode("keys").alias("key"))))
+    star = keep(met.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
+    tested = star
+    links = keep(links.unionByName(texts.verified(_bounded(star, rep, percent))))
+    comp = components(links)
+
     def placed(rows: DataFrame) -> DataFrame:
-        c = components(links).withColumnRenamed("id", "c_node")
-        return rows.join(c, F.col("node") == F.col("c_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("c_node")
-
-    rows = placed(keep(met.select("key", "id").join(node, "id").select("key", "node", "n").distinct()))
-    rows = keep(_open(rows).select("key", "node", "n", "same", "size"))
-    one = rows.groupBy("same", "size").agg(F.min("key").alias("key")).select("key")
-    rows = keep(rows.join(one, "key", "left_semi").select("key", "node", "n", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    # each round verifies the likeliest pairs of each document, which mostly connects what can be connected; the last
-    # round leaves none out
-    for most in (*ROUNDS, None):
-        now = _open(placed(rows)).drop("same", "size")
-        tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-        now = now.withColumn("mine", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        now = now.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "component").join(points.select("node", "point"), "node")
-        found = keep(_search(now, most).groupBy("a", "b").agg(F.min("whole").alias("whole")))
-        new = keep(found.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            links = keep(links.unionByName(_verified(new, named)))
-            tested = keep(tested.unionByName(new))
-        if found.filter("not whole").isEmpty():
+        return rows.join(small(comp), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # keys whose documents are in several components still; of keys with the same documents one stays
+    met = met.select("key", "node")
+    g = placed(met).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("same"))
+    one = keep(g.filter("low < high").groupBy("size", "same").agg(F.min("key").alias("key")))
+    hot = small(keep(one.filter(F.col("size") > TILE).select("key")))
+    held = met.join(small(one.select("key")), "key").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    members = keep(held.join(rep.select("node", "n", "point"), "node").dropDuplicates(["node"]))
+    layers, again = LAYERS, None
+    while not members.isEmpty():
+        rows = placed(members).withColumn("key", F.explode("keys"))
+        if again is not None:
+            rows = rows.join(again, "key", "left_semi")
+        found = keep(_search(_tiled(rows, hot), layers, percent))
+        pairs = keep(found.filter("a is not null").select("a", "b").distinct().join(small(tested), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links = keep(links.unionByName(texts.verified(pairs)))
+            tested = keep(tested.unionByName(pairs))
+            comp = components(links)
+        again = keep(found.filter("a is null").select("key").distinct())
+        if again.isEmpty():
             break
-    return _result(d, node, components(links))
+        again, layers = small(again), layers * MORE
+    return _result(d, sets, many, comp)
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and the sum of the smaller coordinates let link."""
-    both = pairs.join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a").join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
-    both = both.filter((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
+    nodes = small(keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    points = keep(points.select("node", "n", "point").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b").join(points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a")
+    both = both.filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
 
     def may(pa_: pa.Array, pb_: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         out = []
         for x, y, m, n in zip(pa_.to_pylist(), pb_.to_pylist(), na.to_pylist(), nb.to_pylist()):
             p = fold([x, y])
-            out.append(bool(np.minimum(p[0], p[1]).sum() >= least_overlap(m + n)))
+            out.append(bool(np.minimum(p[0], p[1]).sum(dtype=np.int64) >= least_overlap(m + n, percent)))
         return pa.array(out, pa.bool_())
 
     may.__annotations__ = {"pa_": pa.Array, "pb_": pa.Array, "na": pa.Array, "nb": pa.Array, "return": pa.Array}
-    return both.withColumn("may", F.arrow_udf(may, "boolean").asNondeterministic()("pa", "pb", "na", "nb")).filter("may").select("a", "b")
-
-
-def _result(d: DataFrame, node: DataFrame, comp: DataFrame | None) -> DataFrame:
-    of = node.groupBy("id").agg(F.min("node").alias("node"))
-    if comp is not None:
-        of = of.join(comp.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    else:
-        of = of.select("id", F.col("node").alias("component"))
-    return d.select("id", "n").join(of, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
-
-
-def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one of the least id."""
-    got = keep(join(docs, key, text))
-    gone = got.filter("id <> component").select(F.col("id").alias("gone_id")).distinct()
-    out = docs.join(small(keep(gone)), F.col(key) == F.col("gone_id"), "left_anti")
-    rows = got.agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).collect()[0]
-    # rows without an id are documents each
-    return out if rows["n"] == rows["d"] else out.filter(F.col(key).isNotNull()).dropDuplicates([key]).union(out.filter(F.col(key).isNull()))
+    return keep(both.withColumn("may", F.arrow_udf(may, "boolean").asNondeterministic()("pa", "pb", "na", "nb")).filter("may").select("a", "b"))
+
+
+def _result(d: DataFrame, sets: DataFrame, many: DataFrame, comp: DataFrame) -> DataFrame:
+    """Components are named by their least id; most nodes are linked with none, and their rows need no look-up."""
+    of = keep(sets.select("node", "first").join(small(comp), "node"))
+    name = of.groupBy("component").agg(F.min("first").alias("name"))
+    linked_ = small(keep(of.select("node", "component").join(small(keep(name)), "component").select("node", "name")))
+    out = d.select("id", "n", "node").join(linked_, "node", "left").join(many, "node", "left")
+    found = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("name", "first", "id")).otherwise(F.col("id")))
+    return out.select("id", F.col("n").alias("n_shingles"), found.alias("component"))
+
+
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: the one of the least id. Of rows with this id, one of the least hash of the
+    text stays. Rows without an id are documents each, and all stay."""
+    got = keep(join(docs, key, text, shingle, percent))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    gone_id, least = fresh(docs, "gone_id"), fresh(docs, "least_hash")
+    gone = got.filter("id <> component").select(F.col("id").alias(gone_id)).distinct()
+    out = docs.join(small(keep(gone)), F.col(f"`{key}`") == F.col(gone_id), "left_anti")
+    # rows of one id: only those ids meet in a shuffle
+    twice = got.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias(gone_id))
+    twice = small(keep(twice))
+    once = out.join(twice, F.col(f"`{key}`") == F.col(gone_id), "left_anti")
+    again = out.join(twice, F.col(f"`{key}`") == F.col(gone_id), "left_semi")
+    again = again.withColumn(least, F.xxhash64(F.col(f"`{text}`"))).groupBy(F.col(f"`{key}`").alias(gone_id)).agg(F.min_by(F.struct(*names), least).alias("row")).select("row.*")
+    return once.unionByName(again) if not twice.isEmpty() else once
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    return join(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    shingle, percent = OP9
+    return join(docs, "doc_id", "text", shingle, percent).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
