@@ -231,7 +231,7 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def lesser_keys(key: int, held: pa.ListArray) -> np.ndarray:
     """A row of bits per document for the keys below `key` that two of them hold: if two rows have a bit in common, a lesser
-    key is shared and its tree looks at the pair."""
+    key is shared, and its tree looks at the pair."""
     at = np.repeat(np.arange(len(held)), np.diff(np.asarray(held.offsets)))
     values = np.asarray(held.flatten())
     below = values < key
@@ -243,6 +243,13 @@ def lesser_keys(key: int, held: pa.ListArray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def common_bits(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b of bits have one in common, in bounded work space."""
+    step = max(1, (1 << 22) // max(1, bits.shape[1]))
+    parts = [(bits[a[lo : lo + step]] & bits[b[lo : lo + step]]).any(1) for lo in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 class Forests:
     """Up to `layers` spanning forests of candidates over the components of a tree; `whole` is false once a pair fits in none."""
 
@@ -301,10 +308,10 @@ _DESCRIBED = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("keys", pa.lis
 def _describe(rows: list, shingle: int, percent: int) -> list:
     """rows: (id as text, text). Keys and point go to the first row of an id and set in a task; rows without an id have none."""
     task = TaskContext.get()
-    seen = _seen.setdefault(task.taskAttemptId() if task else -1, set())
-    if len(_seen) > 64:
-        for k in list(_seen)[:-8]:
-            del _seen[k]
+    attempt = task.taskAttemptId() if task else -1
+    if attempt not in _seen:
+        _seen.clear()  # a worker runs one task at a time
+    seen = _seen.setdefault(attempt, set())
     cols: list[list] = [[] for _ in _DESCRIBED]
     for row in rows:
         g = shingles(row["text"], shingle)
@@ -443,8 +450,7 @@ def _search(rows: DataFrame, layers: int, percent: int) -> DataFrame:
                     found = found[tile[found[:, 0]] != tile[found[:, 1]]]
                 if bits is None:
                     bits = lesser_keys(key, pa.concat_arrays(t.column("keys").chunks))
-                found = found[~(bits[found[:, 0]] & bits[found[:, 1]]).any(1)]
-                forests.add(found)
+                forests.add(found[~common_bits(bits, found[:, 0], found[:, 1])])
             a, b = node[forests.a], node[forests.b]
             low, high = np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
             if not forests.whole:
