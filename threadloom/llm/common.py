@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 _shipped: set[str] = set()
 _local: dict[str, str] = {}
+#: Paths that this process has written to, in order.
+_written: list[str] = []
 
 
 def ready(spark: SparkSession) -> None:
@@ -43,11 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a local master gets a
+    folder of its own; a cluster is told to set it, as its executors would not see such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='threadloom-')}")
-    return f"{base.rstrip('/')}/threadloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/threadloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -58,6 +65,17 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written, without the tables that it wrote on the way."""
+    before = len(_written)
+    out = keep(make())
+    gone, _written[before:] = _written[before:-1], _written[-1:]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the first of name_1, name_2... that is not a column of df (names compare without case)."""
     taken, out, k = {c.lower() for c in df.columns}, name, 0
@@ -92,10 +110,3 @@ def held(column, modulus: int, remainder: int):
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked for broadcast only where a count finds it small; df should be written (see keep) or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder (see keep). For the end of a job: results that are not
-    written elsewhere yet may still read from it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark).rpartition("/")[0])
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

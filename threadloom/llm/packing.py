@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, over_texts
+from .common import fresh, keep, over_texts
 from .ranks import ranked
 
 CAPACITY, END = 2048, 1
@@ -164,7 +164,7 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]
 
 
 def pack(table: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (columns of `pieces`, written already) with sequence_id and offset."""
+    """Pieces (columns of `pieces`, written already) with sequence_id and offset; names that they have already get _1."""
     histogram = {r[0]: r[1] for r in table.groupBy("length").count().collect()}
     at = places(shortest_pack_first(histogram, capacity))
     # a (length, rank) as one number, so that one search finds the range
@@ -178,8 +178,10 @@ def pack(table: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
 
     call.__annotations__ = {"length": pa.Array, "rank": pa.Array, "return": pa.Array}
     place = F.arrow_udf(call, "sequence_id long, offset long").asNondeterministic()
-    out = ranked(table, "length", [key, "start"], "rank_in_length").withColumn("place", place("length", "rank_in_length"))
-    return out.select(*table.columns, "place.sequence_id", "place.offset")
+    rank, at_ = fresh(table, "rank_in_length"), fresh(table, "place")
+    out = ranked(table, "length", [key, "start"], rank).withColumn(at_, place("length", rank))
+    names = {c: fresh(table, c) for c in ("sequence_id", "offset")}
+    return out.select(*[F.col(f"`{c}`") for c in table.columns], *[F.col(f"{at_}.{c}").alias(n) for c, n in names.items()])
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ the logistic of the log-density difference, from Mahalanobis distances by cached
 Fitting needs only counts, sums and products per class, which Spark sums over all labelled rows.
 
 Cases: null or empty texts have the statistics of zero words and get a score; without labels every score is 0.5; with
-one class only, its prior decides; equal texts get equal scores; a doc_id labelled twice counts twice in training.
+one class only, its prior decides; equal texts get equal scores; a doc_id labelled twice counts twice in training, as
+does a document that repeats one; null labels and null keys train nothing; an empty table gives an empty result; the
+columns added take names that the table does not have.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def statistics(text: str | None) -> list[float]:
         r(s["n_upper"], s["n_letters"]) ** 0.5,
         r(s["n_repeat_words"], n) ** 0.5,
         r(s["n_dup_lines"], s["n_lines"]) ** 0.5,
-        r(s["n_distinct"], n) if n < 50 else float(np.log(s["n_distinct"]) / np.log(n)),
+        r(float(np.log1p(s["n_distinct"])), float(np.log1p(n))),
         r(s["n_top"], n) ** 0.5,
         r(s["n_digits"], s["n_bytes"]) ** 0.5,
         r(s["n_stops"], n) ** 0.5,

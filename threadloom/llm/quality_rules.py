@@ -143,8 +143,10 @@ def verdict(stats: DataFrame, name: str, model: LabelModel) -> DataFrame:
 
 
 def keep_quality(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df whose verdict is kept, with df's columns. Reads the texts twice: to fit and to judge."""
+    """The rows of df whose verdict is kept, with df's columns. Texts are measured once: rows are written with their
+    statistics, which the fit reads alone."""
     stats, name = measured(df, text)
+    stats = keep(stats)
     return verdict(stats, name, fit(stats, name)).filter(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh, keep
 from .ranks import ranked
 
 SHARDS, VIRTUAL = 16, 128
@@ -69,7 +69,8 @@ def walk(counts: list[int], owner: list[int], room: list[int]) -> list[tuple[int
 
 
 def shard(df: DataFrame, key: str, tie: str, shards: int = SHARDS, virtual: int = VIRTUAL, room: list[int] | None = None) -> DataFrame:
-    """df with shard and slot (gapless from 0 in its shard). tie: a column that orders rows of equal keys."""
+    """df with shard, slot (gapless from 0 in its shard) and first_shard; names that df has already get _1. tie: a column that
+    orders rows of equal keys."""
     places, owner = ring(shards, virtual)
     hashed = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(RING))
 
@@ -77,9 +78,10 @@ def shard(df: DataFrame, key: str, tie: str, shards: int = SHARDS, virtual: int
         return pa.array(np.searchsorted(places, h.to_numpy(zero_copy_only=False), side="left") % len(places), pa.int32())
 
     arcs.__annotations__ = {"h": pa.Array, "return": pa.Array}
-    rows = keep(df.withColumn("ring_hash", hashed).withColumn("ring_arc", F.arrow_udf(arcs, "int")(F.col("ring_hash"))))
+    at, arc, rank, placed = (fresh(df, c) for c in ("ring_hash", "ring_arc", "ring_rank", "ring_place"))
+    rows = keep(df.withColumn(at, hashed).withColumn(arc, F.arrow_udf(arcs, "int")(F.col(at))))
     counts = [0] * len(places)
-    for a, n in rows.groupBy("ring_arc").count().collect():
+    for a, n in rows.groupBy(arc).count().collect():
         counts[a] = n
     ranges = walk(counts, owner, room or bounds(sum(counts), shards))
     span = max(counts, default=0) + 1
@@ -93,8 +95,9 @@ def shard(df: DataFrame, key: str, tie: str, shards: int = SHARDS, virtual: int
         return pa.StructArray.from_arrays([pa.array(t[i, 2], pa.int32()), pa.array(t[i, 3] + r - t[i, 1], pa.int64()), pa.array(np.array(owner)[t[i, 0]], pa.int32())], names=["shard", "slot", "first"])
 
     place.__annotations__ = {"arc": pa.Array, "rank": pa.Array, "return": pa.Array}
-    found = ranked(rows, "ring_arc", ["ring_hash", key, tie], "ring_rank").withColumn("ring_place", F.arrow_udf(place, "shard int, slot long, first int").asNondeterministic()("ring_arc", "ring_rank"))
-    return found.select(*df.columns, "ring_place.shard", "ring_place.slot", F.col("ring_place.first").alias("first_shard"))
+    found = ranked(rows, arc, [at, key, tie], rank).withColumn(placed, F.arrow_udf(place, "shard int, slot long, first int").asNondeterministic()(arc, rank))
+    names = [fresh(df, c) for c in ("shard", "slot", "first_shard")]
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{placed}.{f}").alias(n) for f, n in zip(("shard", "slot", "first"), names)])
 
 
 def lookup(key: str, places: list[int], owner: list[int], digest) -> int:
