@@ -162,6 +162,63 @@ def test_mixing(docs, none):
     assert m.columns == docs.columns
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k])
+def test_mixing_of_equal_documents(spark, ids):
+    rows = [(ids(k), text(10), "s0") for k in range(200)] + [(1000 + k, text(10, 1), "s1") for k in range(200)]
+    got = mixing.op2(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    per = {}
+    for k, r in enumerate(got):
+        assert r["taken"] <= 2 * r["size"]
+        per[r["target"]] = per.get(r["target"], 0) + r["taken"]
+    assert all(abs(n - t) <= 10 for t, n in per.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(5) for c in ("source_size", "target", "certain", "step", "drawn", "copies", "k", "row", "number")})
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and abs(mixed.count() * 10 - sum(per)) <= 20
+    assert set(mixed.select("row", "copies").distinct().collect()) == {(5, 5)}
+
+
+def test_packing_names(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    table = common.keep(packing.pieces(docs, "doc_id", payload="crc32").withColumns({c: F.lit(9) for c in ("place", "rank_in_length", "sequence_id", "offset")}))
+    got = packing.pack(table, "doc_id")
+    assert got.columns == [*table.columns, "sequence_id_1", "offset_1"]
+    assert {r["sequence_id"] for r in got.collect()} == {9} and {r["sequence_id_1"] for r in got.collect()} == {0}
+
+
+def test_sharding_names(spark):
+    docs = spark.createDataFrame([(k, 77) for k in range(40)], "doc_id long, ring_hash int").withColumns({c: F.lit(3) for c in ("ring_arc", "ring_rank", "ring_place", "shard", "slot")})
+    got = sharding.shard(docs, "doc_id", "doc_id")
+    assert got.columns == [*docs.columns, "shard_1", "slot_1", "first_shard"]
+    assert {(r["ring_hash"], r["ring_arc"], r["shard"]) for r in got.collect()} == {(77, 3, 3)}
+
+
+@pytest.mark.parametrize("t", ["²", "½ ①", "12", "_", "\u0301"])
+def test_no_letters_no_language(t):
+    assert not language_id.has_letter(t) and language_id.has_letter(t + "é") and language_id.has_letter("ª語")
+
+
+def test_own_names_clash(spark, docs):
+    """Columns that are called as the operators' own keep their values."""
+    mine = docs.withColumns({c: F.lit(5) for c in ("language_id", "statistics", "quality_score", "toxicity", "license", "containment", "media", "feature", "webp", "node", "keys", "component")})
+    for out, name in (
+        webp.digests(mine),
+        language_id.predict(mine, language_id.fit(mine)),
+        quality_classifier.described(mine),
+        toxicity.score(mine, toxicity.train([], [])),
+    ):
+        assert out.columns == [*mine.columns, name] and name not in mine.columns
+        assert set(out.select("language_id", "toxicity", "statistics").distinct().collect()) == {(5, 5, 5)}
+    assert ngram_join.op9(mine).count() == len(ROWS) and license_scan.scan(mine).count() == 0
+
+
+def test_empty_tables(none):
+    m = language_id.fit(none)
+    assert language_id.predict(none, m)[0].count() == 0 and language_id.known_language(none, F.lit(True)).count() == 0
+    d, stats = quality_classifier.described(none)
+    assert quality_classifier.score(d, quality_classifier.fit(d.withColumn("quality", F.lit(1)), stats), stats)[0].count() == 0
+    assert quality_rules.keep_quality(none).count() == 0 and ngram_join.distinct_documents(none).count() == 0
+
+
 def test_packing(docs, none):
     got = packing.op6(docs).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -140,6 +141,46 @@ def test_toxicity_shares_subwords():
     assert m.score("cloud paper stone") < 0.5 and m.score("") < 0.7 and m.score(" ".join(plain * 100)) < 0.5
 
 
+def plain_window_odds(m, t):
+    """By the definition: n-grams one by one, words by their mean, windows by the mean of what is new in them."""
+    words, half = toxicity.words_of(t), toxicity.WINDOW // 2
+
+    def word(w):
+        marked, grams = f"<{w}>", []
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                h = ord(marked[i])
+                for c in marked[i + 1 : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                grams.append(((h + n) * 0xC2B2AE3D27D4EB4F) % 2**64 >> 32)
+        grams.append(xxhash.xxh32_intdigest(w.encode()))
+        return np.mean([m.value[g % toxicity.BUCKETS] for g in grams])
+
+    spans = [words[at : at + 2 * half] for at in range(0, max(1, len(words) - half), half)]
+    return [m.base + sum(map(word, set(s))) / max(len(s), half) for s in spans]
+
+
+def test_toxicity_scores_by_brute_force():
+    r = np.random.default_rng(1)
+    m = toxicity.Model(r.normal(0, 9, toxicity.BUCKETS), -2.0)
+    vocab = ["a", "bb", "ünï", "river", "mountainside", "word", "other", "\U00010400x"] + [f"tok{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [" ".join(r.choice(vocab, n)) for n in (1, 2, 15, 16, 17, 31, 32, 33, 48, 49, 200)] + ["", "12 34 !"]
+    got = m.predict([*texts, None])[0]
+    want = [1 / (1 + np.exp(-max(plain_window_odds(m, t)))) if toxicity.words_of(t) else 1 / (1 + np.exp(2.0)) for t in texts]
+    assert np.allclose(got[:-1], want, atol=1e-8) and got[-1] == got[-2]
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    lab = rows(f"select doc_id, toxic, text from '{sf}/labels.parquet' join '{sf}/documents.parquet' using (doc_id) where toxic is not null")
+    seen = [(t, y) for i, y, t in lab if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [(t, y) for i, y, t in lab if zlib.crc32(str(i).encode()) % 3 == 1]
+    m = toxicity.train([t or "" for t, _ in seen], [y for _, y in seen])
+    p = np.array(m.predict([t for t, _ in held])[0]) >= 0.7
+    y = np.array([y for _, y in held])
+    assert (p == y).mean() > 0.95 and p[y == 1].mean() > 0.85
+
+
 # ---- licenses
 
 
@@ -156,7 +197,7 @@ def test_toxicity_trains_alike_at_every_size():
     for n in (300, 20_500):  # windows
         texts = [f"word{k % 50} {'dimwitted' if k % 4 == 0 else 'kind'}{r.integers(0, 9)}" for k in range(n)]
         labels = [int(k % 4 == 0) for k in range(n)]
-        by_default, full = toxicity.train(texts, labels), toxicity.train(texts, labels, epochs=30)
+        by_default, full = toxicity.train(texts, labels), toxicity.train(texts, labels, steps=toxicity.STEPS)
         assert by_default.base == full.base and np.array_equal(by_default.value, full.value)
 
 
