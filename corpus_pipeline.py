@@ -2,6 +2,11 @@
 
 quality rules -> language ID -> n-gram Jaccard join -> mixing -> packing. Each stage calls its operator on all rows that
 the stage before kept; all but the last return the columns of documents.
+
+Cases, for every stage: an empty table gives an empty result; columns beside those of documents pass through; rows with
+equal ids are judged one by one, but are one document for the join, which keeps one of them; rows without an id are
+documents each. Null and empty texts fail the quality rules; given to later stages, they have no language and go there,
+link with nothing in the join, are never taken by the mix, and pack as the one end token.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least id stays."""
+    """Of each group of linked documents, the one with the least id stays. Near copies are those of the corpus rule: five words,
+    similarity 0.8 or more (the query op9 has a contract of its own: four words, 0.85)."""
     common.ready(spark)
-    return ngram_join.distinct_documents(docs)
+    return ngram_join.distinct_documents(docs, shingle=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. What a stage wrote on its way goes once its result is written."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, common.keep(docs) if k else docs, sf_dir)
+    for _, stage in STAGES:
+        docs = common.keep_only(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
