@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ _shipped: set[str] = set()
 _local: dict[str, str] = {}
 #: Paths that this process has written to, in order.
 _written: list[str] = []
+#: Those of the last stage.
+_passed: list[str] = []
 
 
 def ready(spark: SparkSession) -> None:
@@ -65,15 +68,27 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() returns, written, without the tables that it wrote on the way."""
-    before = len(_written)
-    out = keep(make())
-    gone, _written[before:] = _written[before:-1], _written[-1:]
-    for path in gone:
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that keep() wrote."""
+    for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return out
+        _written.remove(path)
+
+
+def stage(fn: Callable) -> Callable:
+    """A stage (spark, docs, sf_dir) of a chain whose results are written before the next one begins: the tables that the
+    stage before wrote on its way are no longer read then, and go."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, [p for p in _passed if p in _written])
+        before = len(_written)
+        out = fn(spark, docs, sf_dir)
+        _passed[:] = _written[before:]
+        return out
+
+    return run
 
 
 def fresh(df: DataFrame, name: str) -> str:
