@@ -17,18 +17,21 @@ from pyspark.sql import functions as F
 from threadloom.llm import common, language_id, mixing, ngram_join, packing, quality_rules
 
 
+@common.stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules reject go."""
     common.ready(spark)
     return quality_rules.keep_quality(docs)
 
 
+@common.stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with an ambiguous one, go. The classifiers learn from this stage's labelled rows."""
     common.ready(spark)
     return language_id.known_language(docs, F.lit(True))
 
 
+@common.stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least id stays. Near copies are those of the corpus rule: five words,
     similarity 0.8 or more (the query op9 has a contract of its own: four words, 0.85)."""
@@ -36,12 +39,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.distinct_documents(docs, shingle=5, percent=80)
 
 
+@common.stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those that it does not take go."""
     common.ready(spark)
     return mixing.mix(docs)
 
 
+@common.stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mix in sequences. A document taken twice has its pieces twice."""
     common.ready(spark)
@@ -55,8 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other. What a stage wrote on its way goes once its result is written."""
+    """The stages one after the other, each result written and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = common.keep_only(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, common.keep(docs) if k else docs, sf_dir)
     return docs
