@@ -240,7 +240,7 @@ def test_slots_of_pictures(spark):
     from threadloom.operators import rendering
 
     df = spark.createDataFrame([("photo", None, True, False), ("photo", None, False, True), ("photo", "a cat", True, True), ("video", None, None, None), (None, None, None, None)], "k string, d string, r boolean, f boolean")
-    got = [x[0] for x in df.select(rendering.slots(F.col("k"), F.col("d"), F.lit(None).cast("string"), F.col("r"), F.col("f"))).collect()]
+    got = [x[0] for x in df.select(media.slots(F.col("k"), F.col("d"), F.lit(None).cast("string"), F.col("r"), F.col("f"))).collect()]
     assert got == ["[photo: re-sent image — vision unavailable]", "[photo: download failed — vision unavailable]", "[photo: a cat]", "[file: video — thumbnail not described]", None]
 
 

@@ -24,8 +24,8 @@ def digest(seed: Column) -> Column:
 
 
 def person_key(sender_id: Column | str, name: Column | str) -> Column:
-    """A person's pseudonym: from the id, or from the name where there is no id."""
-    seed = F.when(col(sender_id).isNotNull(), F.concat(F.lit("id:"), col(sender_id).cast("string"))).otherwise(F.concat(F.lit("name:"), F.lower(F.trim(F.coalesce(col(name), F.lit(""))))))
+    """A person's pseudonym: from the id, or from the name where there is no id ("unknown" where there is neither)."""
+    seed = F.when(col(sender_id).isNotNull(), F.concat(F.lit("id:"), col(sender_id).cast("string"))).otherwise(F.concat(F.lit("name:"), F.lower(F.trim(F.coalesce(F.nullif(col(name), F.lit("")), F.lit("unknown"))))))
     return F.concat(F.lit("@u"), digest(seed))
 
 
@@ -73,27 +73,33 @@ def rewrite(text: Column, pattern: str, group: int, change) -> Column:
     return F.array_join(woven, "")
 
 
-def pseudonymise(text: Column | str, known: Column | None = None) -> Column:
-    """@handles as pseudonyms: a known person's key (map of lower-case handle to key), else one from the handle."""
+def pseudonymise(text: Column | str, known: Column | None = None, prefix: str = "") -> Column:
+    """@handles as pseudonyms: a known person's key (map of prefix and lower-case handle to key), else one from the handle."""
 
     def change(handle: Column, whole: Column) -> Column:
         key = mention_key(handle)
         if known is not None:
-            key = F.coalesce(F.try_element_at(known, F.lower(handle)), key)
+            key = F.coalesce(F.try_element_at(known, F.concat(F.lit(prefix), F.lower(handle))), key)
         return F.when(F.lower(handle).isin(*GROUP_TOKENS), whole).otherwise(key)
 
     return rewrite(col(text), MENTION, 1, change)
 
 
-def scrub_ids(text: Column | str, keys: Column) -> Column:
-    """Whole numbers that are somebody's id, as that person's key (map of id to key)."""
-    return rewrite(col(text), r"(?U)\b\d+\b", 0, lambda _, whole: F.coalesce(F.try_element_at(keys, whole.try_cast("bigint")), whole))
+NUMBER = r"(?U)\b\d+\b"
+
+
+def scrub_ids(text: Column | str, keys: Column, prefix: str = "") -> Column:
+    """Whole numbers that are somebody's id as it is written, as that person's key (map of prefix and id to key)."""
+    return rewrite(col(text), NUMBER, 0, lambda _, whole: F.coalesce(F.try_element_at(keys, F.concat(F.lit(prefix), whole)), whole))
+
+
+ALL, ME = r"(?iU)(?<![\w@])@(?:all|everyone)\b", r"(?iU)(?<![\w@])@me\b"
 
 
 def expand_groups(text: Column | str, everyone: Column, speaker: Column) -> Column:
     """@all and @everyone as all keys, @me as the speaker's."""
-    t = F.regexp_replace(col(text), F.lit(r"(?iU)(?<![\w@])@(?:all|everyone)\b"), everyone)
-    return F.regexp_replace(t, F.lit(r"(?iU)(?<![\w@])@me\b"), speaker)
+    t = F.regexp_replace(col(text), F.lit(ALL), everyone)
+    return F.regexp_replace(t, F.lit(ME), speaker)
 
 
 def has_content(body: Column | str) -> Column:

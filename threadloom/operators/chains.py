@@ -11,15 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import media
 from .lineage import cut
 
 GENERIC = ("chat", "channel")
 
 
-def source(m: Column | None = None) -> Column:
-    """Where a message comes from, as a label."""
+def source(extra: Column | None = None) -> Column:
+    """Where a message comes from, as a label: what `extra` names as its source, or what kind of place it stands in."""
     c = F.col
-    return F.when(c("post_id").isNotNull(), "channel").when(c("topic_id").isNotNull(), F.concat(F.lit("chat/topic:"), c("topic_id").cast("string"))).otherwise("chat")
+    named = F.lit(None).cast("string") if extra is None else F.nullif(F.try_variant_get(extra, "$.source", "string"), F.lit(""))
+    return F.when(named.isNotNull(), named).when(c("post_id").isNotNull(), "channel").when(c("topic_id").isNotNull(), F.concat(F.lit("chat/topic:"), c("topic_id").cast("string"))).otherwise("chat")
 
 
 def is_named(s: Column) -> Column:
@@ -78,15 +80,41 @@ def with_root(messages: DataFrame) -> DataFrame:
     return messages.join(roots(messages).withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
 
 
-MEMBER = ("date", "id", "sender_id", "sender_name", "text")
+#: What an atom keeps of its members; the last four only where messages have them (see `described`).
+MEMBER, MORE = ("date", "id", "sender_id", "sender_name", "text"), ("who", "slots", "told", "media_type")
+
+
+def described(messages: DataFrame) -> DataFrame:
+    """Messages with who (the sender's key), source, slots (what is shown of media) and told (keys of real people mentioned)."""
+    c, has = F.col, set(messages.columns)
+    extra = c("extra") if "extra" in has else None
+    meta = c("media_meta") if "media_meta" in has else F.parse_json(F.lit(None).cast("string"))
+    told = F.array().cast("array<string>")
+    if "mentions" in has:
+        real = F.filter("mentions", lambda x: F.coalesce(x["real"], F.lit(False)) & x["user_id"].isNotNull())
+        told = F.coalesce(F.transform(real, lambda x: X.person_key(x["user_id"], x["name"])), told)
+    return messages.withColumns({"who": X.person_key("sender_id", "sender_name"), "source": source(extra), "slots": media.slots_of(c("media_type"), c("photo_desc") if "photo_desc" in has else F.lit(None).cast("string"), meta), "told": told})
 
 
 def atoms(rooted: DataFrame) -> DataFrame:
-    """A row per root: members in order of date and id, and what the last of them says of the whole."""
-    members = F.array_sort(F.collect_list(F.struct(*MEMBER)))
-    a = rooted.groupBy("root").agg(members.alias("members"), F.max_by(source(), F.struct("date", "id")).alias("source"), F.array_sort(F.collect_set(kind())).alias("kinds"))
+    """A row per root: members in order of date and id (an id once), and what the last of them says of the whole."""
+    names = [*MEMBER, *(c for c in MORE if c in rooted.columns)]
+    members = F.array_sort(F.collect_list(F.struct(*names)))
+    origin = F.col("source") if "source" in rooted.columns else source()
+    a = rooted.groupBy("root").agg(members.alias("members"), F.max_by(origin, F.struct("date", "id")).alias("source"), F.array_sort(F.collect_set(kind())).alias("kinds"))
+    a = a.withColumn("members", F.filter("members", lambda m, i: (i == 0) | (F.get("members", i - 1)["id"] != m["id"])))
     leaf = F.element_at("members", -1)
-    return a.withColumn("n_members", F.size("members").cast("long")).withColumn("leaf_id", leaf["id"]).withColumn("leaf_date", leaf["date"]).withColumn("sender", X.person_key(leaf["sender_id"], leaf["sender_name"]))
+    a = a.withColumn("n_members", F.size("members").cast("long")).withColumn("leaf_id", leaf["id"]).withColumn("leaf_date", leaf["date"]).withColumn("sender", X.person_key(leaf["sender_id"], leaf["sender_name"]))
+    if "told" in names:
+        told = F.array_distinct(F.flatten(F.transform("members", lambda m: m["told"])))
+        a = a.withColumn("mentions", F.filter(told, lambda k: k != F.col("sender")))
+    return a
+
+
+def by_person(atoms: DataFrame) -> DataFrame:
+    """Atoms with the group that takes them in one pass: the last author's, and that of each person mentioned."""
+    who = F.array(F.col("sender")) if "mentions" not in atoms.columns else F.array_union(F.array("sender"), "mentions")
+    return atoms.withColumn("group", F.explode(who))
 
 
 def by_day(messages: DataFrame) -> DataFrame:

@@ -9,63 +9,35 @@ from ..functions import text as X
 from . import chains
 
 
-def head(date: Column, sender_id: Column, sender_name: Column) -> Column:
-    return F.concat(F.lit("["), X.clock(date), F.lit("] "), X.person_key(sender_id, sender_name), F.lit(":"))
+def head(date: Column, who: Column) -> Column:
+    return F.concat(F.lit("["), X.clock(date), F.lit("] "), who, F.lit(":"))
 
 
-def line(date: Column, sender_id: Column, sender_name: Column, text: Column) -> Column:
-    body = F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(" "), text)).otherwise("")
-    return F.concat(head(date, sender_id, sender_name), body)
+def spoken(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(" "), text)).otherwise("")
+
+
+def line(date: Column, who: Column, text: Column, shown: Column | None = None) -> Column:
+    """One message: time, speaker, text, and the long form of its media (if any) on a line of its own."""
+    out = F.concat(head(date, who), spoken(text))
+    return out if shown is None else F.concat(out, F.when(F.coalesce(shown, F.lit("")) != "", F.concat(F.lit(" \n"), shown)).otherwise(""))
 
 
 def atom_text(atoms: DataFrame, since: Column | None = None) -> DataFrame:
-    """Adds content: a line per member; from `since` on, the first member and the rest from there."""
-    members = F.col("members")
+    """Adds content: a line per member and one per slot; from `since` on, the first member and the rest from there."""
+    members, names = F.col("members"), atoms.schema["members"].dataType.elementType.names
     if since is not None:
         grown = (since > 0) & (since < F.size("members"))
         members = F.when(grown, F.concat(F.slice("members", 1, 1), F.slice(F.col("members"), since + 1, F.greatest(F.size("members"), F.lit(1))))).otherwise(members)
-    lines = F.transform(members, lambda m: line(m["date"], m["sender_id"], m["sender_name"], m["text"]))
+
+    def lines(m: Column) -> Column:
+        who = m["who"] if "who" in names else X.person_key(m["sender_id"], m["sender_name"])
+        first = F.array(F.concat(head(m["date"], who), spoken(m["text"])))
+        return F.concat(first, F.transform(m["slots"], lambda s: F.concat(F.lit("  "), s))) if "slots" in names else first
+
     named = chains.is_named(F.col("source"))
-    lines = F.concat(F.when(named, F.array(F.concat(F.lit("[source: "), F.col("source"), F.lit("]")))).otherwise(F.array().cast("array<string>")), lines)
-    return atoms.withColumn("content", F.array_join(lines, "\n"))
-
-
-def slots(kind: Column, desc: Column, filename: Column, resent: Column | None = None, failed: Column | None = None) -> Column:
-    """A placeholder for what a message carries besides its text; resent, failed: about pictures without a description."""
-    described = F.coalesce(desc, F.lit("")) != ""
-    name = F.nullif(filename, F.lit(""))
-    return (
-        F.when(kind.isNull(), None)
-        .when((kind == "photo") & described, F.concat(F.lit("[photo: "), desc, F.lit("]")))
-        .when((kind == "photo") & F.coalesce(F.lit(False) if resent is None else resent, F.lit(False)), "[photo: re-sent image — vision unavailable]")
-        .when((kind == "photo") & F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)), "[photo: download failed — vision unavailable]")
-        .when(kind == "photo", "[photo: vision unavailable]")
-        .when(kind.isin("audio", "voice"), "[audio: transcription unavailable]")
-        .when((kind == "video") & described, F.concat(F.lit("[video thumbnail: "), desc, F.lit("]")))
-        .when(kind == "video", F.concat(F.lit("[file: "), F.coalesce(name, F.lit("video")), F.lit(" — thumbnail not described]")))
-        .when(kind == "file", F.concat(F.lit("[file: "), F.coalesce(name, F.lit("file")), F.lit("]")))
-        .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
-    )
-
-
-def media(kind: Column, desc: Column, name: Column, emoji: Column, phone: Column, lat: Column, long: Column) -> Column:
-    """The long form of what a message carries. A contact card shows a digest of its phone or name, never these."""
-    seed = F.lower(F.trim(F.coalesce(F.nullif(phone, F.lit("")), name, F.lit(""))))
-    file = F.nullif(name, F.lit(""))
-    card = F.when(seed == "", "[contact]").otherwise(F.concat(F.lit("[contact: @u"), X.digest(F.concat(F.lit("contact:"), seed)), F.lit("]")))
-    say = lambda what, value: F.concat(F.lit(f"[{what}: "), value, F.lit("]"))
-    body = (
-        F.when(kind.isNull(), None)
-        .when((kind == "photo") & (F.coalesce(desc, F.lit("")) != ""), say("photo", desc))
-        .when(kind == "photo", "[photo]")
-        .when(kind == "sticker", say("sticker", F.coalesce(emoji, F.lit(""))))
-        .when(kind.isin("audio", "voice"), F.concat(F.lit("["), kind, F.lit(": "), F.coalesce(file, kind), F.lit("]")))
-        .when(kind.isin("video", "file"), F.concat(F.lit("["), kind, F.lit(": "), F.coalesce(file, kind), F.lit("]")))
-        .when(kind == "contact", card)
-        .when(kind == "geo", F.concat(F.lit("[location: "), lat.cast("string"), F.lit(", "), long.cast("string"), F.lit("]")))
-        .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
-    )
-    return F.concat(F.lit("  "), body)
+    top = F.when(named, F.array(F.concat(F.lit("[source: "), F.col("source"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    return atoms.withColumn("content", F.array_join(F.concat(top, F.flatten(F.transform(members, lines))), "\n"))
 
 
 def pictures(parts: Column) -> Column:
@@ -80,20 +52,25 @@ def pictures(parts: Column) -> Column:
     return F.when(F.size(parts) == 1, F.regexp_replace(one(parts[0], F.lit("")), r"^\s+|\s+$", "")).otherwise(many)
 
 
-def poll(question: Column, options: Column, total: Column, quiz: Column, closed: Column) -> Column:
-    """A poll; options: array of struct(text, voters)."""
-    top = F.concat(F.lit("  [poll"), F.when(quiz, " (quiz)").otherwise(""), F.lit(": "), F.coalesce(question, F.lit("")), F.lit("]"))
-    rows = F.transform(options, lambda o: F.concat(F.lit("    - "), F.coalesce(o["text"], F.lit("")), F.when(o["voters"].isNotNull(), F.concat(F.lit(" — "), o["voters"].cast("string"), F.lit(" votes"))).otherwise("")))
-    end = F.when(total.isNotNull(), F.array(F.concat(F.lit("    ("), total.cast("string"), F.lit(" total voters"), F.when(closed, ", closed").otherwise(""), F.lit(")")))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(F.array(top), rows, end), "\n")
+# How a day of a channel sets posts and comments apart.
+POST, COMMENT, LOST_POST = "▸ POST — ", "    ↳ ", "▸ POST {} — (post text unavailable)"
 
 
 def days(messages: DataFrame) -> DataFrame:
-    """A text per day: a header, then the messages by date and id."""
-    d = chains.by_day(messages)
-    rows = F.array_sort(F.collect_list(F.struct("date", "id", line(F.col("date"), F.col("sender_id"), F.col("sender_name"), F.col("text")).alias("line"))))
-    g = d.groupBy("day").agg(rows.alias("rows"))
-    return g.select("day", F.concat(F.lit("## "), F.col("day"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("content"))
+    """A text per day: a header, then the messages by date and id; where there are posts, each post and then its comments
+    by id, and messages of no post first. A column `shown` is the long form of media."""
+    shown = F.col("shown") if "shown" in messages.columns else None
+    who = F.col("who") if "who" in messages.columns else X.person_key("sender_id", "sender_name")
+    d = chains.by_day(messages).withColumn("line", line(F.col("date"), who, F.col("text"), shown))
+    post, none = F.col("id") == F.col("post_id"), F.array().cast("array<string>")
+    plain = F.transform(F.array_sort(F.collect_list(F.when(F.col("post_id").isNull(), F.struct("date", "id", "line")))), lambda r: r["line"])
+    own = F.max(F.when(post, F.concat(F.lit(POST), "line")))
+    comments = F.transform(F.array_sort(F.collect_list(F.when(F.col("post_id").isNotNull() & ~post, F.struct("id", "line")))), lambda r: F.concat(F.lit(COMMENT), r["line"]))
+    lost = F.format_string(LOST_POST.replace("{}", "%d"), F.col("post_id"))
+    p = d.groupBy("day", "post_id").agg(plain.alias("plain"), own.alias("own"), comments.alias("comments"))
+    p = p.withColumn("lines", F.concat("plain", F.when(F.col("post_id").isNotNull(), F.array(F.coalesce("own", lost))).otherwise(none), "comments"))
+    g = p.groupBy("day").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("post_id", F.lit(-(2**63))).alias("at"), "lines"))).alias("posts"))
+    return g.select("day", F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.col("day"))), F.flatten(F.transform("posts", lambda x: x["lines"]))), "\n").alias("content"))
 
 
 # The marks between which a reply about a picture puts its two parts.

@@ -6,83 +6,27 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions import text as X
-from ..operators import chains, history, progress, store, views
+from ..operators import chains, history, media, progress, store, views
 from ..sources import adapters as A
 from .queries import CONV_ROOTS, LIVE, TASKS, _tasks, query
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")
-def flt_service(spark, d):
-    return A.read(spark, d, "events").filter(F.col("event_type").isin("click", "purchase")).select("event_id", "event_type")
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 = 0")
-def prj_dot(spark, d):
-    e = A.read(spark, d, "events").filter("event_id % 5 = 0")
-    return e.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @query("SELECT key FROM rec WHERE contains(lower(segment), 'build') AND total < 50000 AND status = 'F'", A.RECORDS)
 def flt_where(spark, d):
     return store.query(A.records(spark, d), "", {"segment": "build", "total": "<50000", "status": ["F"]}, limit=None).select("key")
 
 
-@query(
-    """SELECT root, list_contains(kinds, 'post') AS entry FROM (SELECT post_id AS root, list(CASE WHEN post_id = id THEN 'post' ELSE 'comment' END) AS kinds FROM evt GROUP BY post_id)""",
-    A.EVENTS,
-)
-def flt_entry(spark, d):
-    a = chains.atoms(chains.with_root(A.events(spark, d)))
-    return a.select("root", F.arrays_overlap("kinds", F.array(F.lit("post"))).alias("entry"))
-
-
-@query("SELECT root, CASE WHEN topic IS NULL THEN 'chat' ELSE 'chat/topic:' || topic END AS source, topic IS NULL AND false AS named FROM (SELECT id AS root, topic_id AS topic FROM evt WHERE reply_to IS NULL)", A.EVENTS)
-def flt_named(spark, d):
-    m = A.events(spark, d).filter("reply_to is null").withColumn("post_id", F.lit(None).cast("long"))
-    m = m.select(F.col("id").alias("root"), chains.source().alias("source"))
-    return m.withColumn("named", chains.is_named(F.col("source")))
-
-
 @query("SELECT '@u' || left(sha256('id:' || sender_id), 8) AS key, '@u' || left(sha256('mention:@' || sender_id), 8) AS mention FROM conv GROUP BY sender_id", A.CONVERSATIONS)
 def id_label(spark, d):
     m = A.conversations(spark, d).select("sender_id").distinct()
     return m.select(X.person_key("sender_id", F.lit(None)).alias("key"), X.mention_key(F.concat(F.lit("@"), F.col("sender_id").cast("string"))).alias("mention"))
 
 
-@query(
-    """SELECT root, array_to_string(list_sort(list(DISTINCT '@u' || left(sha256('id:' || sender_id), 8)) FILTER (sender_id <> leaf)), ',') AS mentions
- FROM (SELECT *, arg_max(sender_id, date || lpad(CAST(id AS VARCHAR), 12, '0')) OVER (PARTITION BY root) AS leaf FROM crt) GROUP BY root""".replace("arg_max(sender_id, date || lpad(CAST(id AS VARCHAR), 12, '0')) OVER (PARTITION BY root)", "last_value(sender_id) OVER (PARTITION BY root ORDER BY date, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
-    A.CONVERSATIONS,
-    CONV_ROOTS,
-)
-def atoms_mentions(spark, d):
-    a = chains.atoms(chains.with_root(A.conversations(spark, d)))
-    keys = F.array_sort(F.array_distinct(F.filter(F.transform("members", lambda m: X.person_key(m["sender_id"], m["sender_name"])), lambda k: k != F.col("sender"))))
-    return a.select("root", F.when(F.size(keys) > 0, F.array_join(keys, ",")).alias("mentions"))
-
-
 @query("SELECT root, CAST(count(*) AS BIGINT) AS n FROM crt GROUP BY root", A.CONVERSATIONS, CONV_ROOTS)
 def grp_offers(spark, d):
     return chains.with_root(A.conversations(spark, d)).groupBy("root").agg(F.count("*").alias("n"))
 
 
-@query("SELECT i, CASE WHEN i = 0 THEN 0.333 ELSE least(0.9, greatest(0.1, i / 10.0)) END AS share FROM (SELECT n_nationkey AS i FROM nation)")
-def bud_share(spark, d):
-    n = A.read(spark, d, "nation").select(F.col("n_nationkey").alias("i"))
-    setting = F.when(F.col("i") == 0, "none").otherwise((F.col("i") / 10.0).cast("string")).try_cast("double")
-    return n.select("i", F.when(setting.isNull(), 0.333).otherwise(F.least(F.lit(0.9), F.greatest(F.lit(0.1), setting))).alias("share"))
-
-
-@query("SELECT lang, '# ' || 'Files' || chr(10) || chr(10) || string_agg(path, chr(10) || chr(10) ORDER BY doc_id) AS text FROM fil GROUP BY lang", A.FILES)
-def view_render(spark, d):
-    return views.rendered(A.files(spark, d).select("lang", "doc_id", F.col("path").alias("text")), ["lang"], ["doc_id"], "Files")
-
-
-@query("SELECT doc_id, updated, source || ': ' || length(body) AS text FROM fil", A.FILES)
-def vw_code(spark, d):
-    return A.files(spark, d).select("doc_id", "updated", F.concat("source", F.lit(": "), F.length("body").cast("string")).alias("text"))
-
-
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS place, text FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS text FROM (SELECT doc_id, string_split(replace(body, '. ', chr(10) || chr(10)), chr(10) || chr(10)) AS p FROM fil)) WHERE trim(text) <> ''", A.FILES)
 def vw_facts(spark, d):
     f = A.files(spark, d).select("doc_id", F.replace("body", F.lit(". "), F.lit("\n\n")).alias("body"))
@@ -103,62 +47,12 @@ def rnd_offer(spark, d):
     return r.select("key", text.alias("text"))
 
 
-@query("SELECT seg, CAST(count(*) AS BIGINT) AS files, max(posted) AS last_updated, CAST(count(DISTINCT substr(posted,1,4)) AS BIGINT) AS years FROM (SELECT split_part(key, '/', 2) AS seg, posted FROM rec) GROUP BY seg", A.RECORDS)
-def agg_people(spark, d):
-    r = A.records(spark, d).select(F.split("key", "/")[1].alias("seg"), "posted")
-    return r.groupBy("seg").agg(F.count("*").alias("files"), F.max("posted").alias("last_updated"), F.count_distinct(P.year_of(F.col("posted"))).alias("years"))
-
-
-@query("SELECT DISTINCT split_part(key, '/', 2) AS company FROM rec", A.RECORDS)
-def agg_companies(spark, d):
-    return A.records(spark, d).select(F.split("key", "/")[1].alias("company")).distinct()
-
-
 @query("SELECT root % 11 AS batch, max(day) AS day FROM (SELECT root, max(substr(date,1,10)) AS day FROM crt GROUP BY root) GROUP BY 1", A.CONVERSATIONS, CONV_ROOTS)
 def agg_batchday(spark, d):
     a = chains.atoms(chains.with_root(A.conversations(spark, d)))
     return a.groupBy((F.col("root") % 11).alias("batch")).agg(F.max(X.day("leaf_date")).alias("day"))
 
 
-@query("SELECT DISTINCT split_part(path, '/', 1) AS lang FROM fil", A.FILES)
-def st_read(spark, d):
-    return A.files(spark, d).select(F.split("path", "/")[0].alias("lang")).distinct()
-
-
-@query("SELECT p.path FROM fil p LEFT JOIN (SELECT path FROM fil WHERE updated < 50) o ON o.path = p.path WHERE o.path IS NULL", A.FILES)
-def st_delete(spark, d):
-    f = A.files(spark, d)
-    return f.join(f.filter("updated < 50").select("path"), "path", "left_anti").select("path")
-
-
-@query("SELECT key, CASE WHEN seq = 1 AND op = 'write' THEN NULL WHEN op = 'write' THEN 'exists' END AS error FROM opl WHERE op = 'write'", A.OP_LOG)
-def st_touch(spark, d):
-    log = A.op_log(spark, d).filter("op = 'write'")
-    return log.select("key", F.when(F.col("seq") > 1, "exists").alias("error"))
-
-
-@query("SELECT key, key LIKE '%/1%' AS refused FROM rec", A.RECORDS)
-def st_typed_guard(spark, d):
-    typed = store.resolve(F.concat(F.lit("companies/"), F.regexp_replace("key", "/", "_"), F.when(F.col("key").contains("/1"), "/facts.json").otherwise("/notes.md")))["key"].endswith(".json")
-    return A.records(spark, d).select("key", typed.alias("refused"))
-
-
-@query("SELECT path, contains('see en/src1/ now', left(path, 8)) AS seen FROM fil", A.FILES)
-def st_seen(spark, d):
-    return A.files(spark, d).select("path", F.contains(F.lit("see en/src1/ now"), F.substring("path", 1, 8)).alias("seen"))
-
-
-@query("SELECT key, max(chat_time) AS last_updated FROM opl WHERE seq <= 3 GROUP BY key", A.OP_LOG)
-def st_meta(spark, d):
-    return store.last_updated(A.op_log(spark, d).filter("seq <= 3"))
-
-
-@query("SELECT key, status FROM rec WHERE status IS NOT DISTINCT FROM 'O'", A.RECORDS)
-def q_eq(spark, d):
-    r = A.records(spark, d)
-    return r.filter(store.condition(r, "status", ["O"])).select("key", "status")
-
-
 @query("SELECT key FROM rec ORDER BY key LIMIT 20", A.RECORDS)
 def q_limit(spark, d):
     return store.query(A.records(spark, d)).select("key")
@@ -171,12 +65,6 @@ def dt_termorder(spark, d):
     return days.select("d", F.substring(t, 1, 4).cast("long").alias("y"), F.when(t.endswith("spring"), 0).otherwise(1).alias("season"))
 
 
-@query("SELECT period, CAST(70 AS BIGINT) - 20 AS priority FROM (SELECT month AS period FROM lve WHERE tier = 'day' AND month < '1998-08' AND month NOT IN (SELECT period FROM lve WHERE tier = 'month') GROUP BY month)", A.HISTORY, LIVE)
-def trg_rollup(spark, d):
-    g = history.gaps(A.history(spark, d), "1998-08-20").filter("tier = 'month'")
-    return g.select("period", F.lit(50).cast("long").alias("priority"))
-
-
 @query("SELECT CAST(count(*) AS BIGINT) AS parts FROM (SELECT month FROM lve WHERE tier = 'day' GROUP BY month UNION ALL SELECT quarter FROM lve WHERE tier = 'month' GROUP BY quarter UNION ALL SELECT year FROM lve WHERE tier = 'quarter' GROUP BY year)", A.HISTORY, LIVE)
 def trg_consolidate(spark, d):
     return history.plan(A.history(spark, d).filter(X.has_content("body"))).agg(F.count("*").alias("parts"))
@@ -189,42 +77,15 @@ def trg_deadline(spark, d):
     return days.select("d", F.array_max(hit).alias("boundary")).filter("boundary is not null")
 
 
-@query("SELECT term, CAST(count(*) AS BIGINT) AS tasks FROM (SELECT CASE WHEN month(CAST(d AS DATE)) >= 8 THEN year(CAST(d AS DATE)) || '-fall' WHEN month(CAST(d AS DATE)) = 1 THEN (year(CAST(d AS DATE)) - 1) || '-fall' ELSE year(CAST(d AS DATE)) || '-spring' END AS term FROM dys) GROUP BY term", A.HISTORY)
-def trg_exam(spark, d):
-    days = A.read(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).distinct()
-    return days.groupBy(P.term("d").alias("term")).agg(F.count("*").alias("tasks"))
-
-
-@query("SELECT seq, priority, created_batch, dedup_key FROM tsk", TASKS)
-def tq_persist(spark, d):
-    return _tasks(spark, d).select("seq", "priority", "created_batch", "dedup_key")
-
-
-@query("SELECT segment, CAST(count(*) AS BIGINT) AS offers, array_to_string(list_sort(list(DISTINCT status)), '/') AS kinds, max(posted) AS last FROM rec GROUP BY segment", A.RECORDS)
-def vw_contacts(spark, d):
-    return A.records(spark, d).groupBy("segment").agg(F.count("*").alias("offers"), F.array_join(F.array_sort(F.collect_set("status")), "/").alias("kinds"), F.max("posted").alias("last"))
-
-
-@query("SELECT reply, regexp_matches(lower(reply), 'context.{0,20}(length|window)|too long') AS too_long FROM (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'maximum context length is ' || p_size WHEN p_size % 3 = 1 THEN 'prompt too long' ELSE 'busy ' || p_size END AS reply FROM part)")
-def llm_overflow(spark, d):
-    from .writer import TOO_LONG
-
-    n = F.col("p_size")
-    p = A.read(spark, d, "part").select(F.when(n % 3 == 0, F.concat(F.lit("maximum context length is "), n.cast("string"))).when(n % 3 == 1, "prompt too long").otherwise(F.concat(F.lit("busy "), n.cast("string"))).alias("reply")).distinct()
-    return p.select("reply", F.col("reply").rlike(TOO_LONG).alias("too_long"))
-
-
 @query(
     """SELECT id, '  ' || CASE k WHEN 0 THEN '[photo: d' || id || ']' WHEN 1 THEN '[sticker: :)]' WHEN 2 THEN '[voice: voice]' WHEN 3 THEN '[file: f' || id || ']' WHEN 4 THEN '[contact: @u' || left(sha256('contact:+' || id), 8) || ']'
  WHEN 5 THEN '[location: ' || id || ', 7]' ELSE '[poll]' END AS text FROM (SELECT p_partkey AS id, p_partkey % 7 AS k FROM part)"""
 )
 def rnd_media(spark, d):
-    from ..operators import rendering
-
     p = A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7).alias("k"))
     kinds = F.array(*[F.lit(k) for k in ("photo", "sticker", "voice", "file", "contact", "geo", "poll")])
     i = F.col("id").cast("string")
-    text = rendering.media(F.get(kinds, F.col("k").cast("int")), F.concat(F.lit("d"), i), F.when(F.col("k") == 3, F.concat(F.lit("f"), i)), F.lit(":)"), F.concat(F.lit("+"), i), F.col("id"), F.lit(7))
+    text = media.long_form(F.get(kinds, F.col("k").cast("int")), F.concat(F.lit("d"), i), F.when(F.col("k") == 3, F.concat(F.lit("f"), i)), F.lit(":)"), F.concat(F.lit("+"), i), F.col("id"), F.lit(7))
     return p.select("id", text.alias("text"))
 
 
@@ -258,31 +119,3 @@ def st_validate(spark, d):
     return R.patch(r, given, [R.Field("status", "string", values=("X", "O", "F", "P")), R.Field("total", "double")]).select("key", "status", "total")
 
 
-@query("SELECT period, 'What happened in ' || period AS text, CASE WHEN length(period) = 4 THEN period || '-00-00' WHEN period LIKE '%q%' THEN substr(period,1,4) || '-' || lpad(CAST(CAST(substr(period,7,1) AS INTEGER)*3-2 AS VARCHAR), 2, '0') || '-00' WHEN length(period) = 7 THEN period || '-00' ELSE period END AS order_key FROM hst WHERE body NOT LIKE '(%)' AND substr(period, 1, 4) < '1997'", A.HISTORY)
-def vw_history(spark, d):
-    h = A.history(spark, d).filter(X.has_content("body") & (P.year_of(F.col("period")) < "1997"))
-    return h.select("period", F.col("body").alias("text"), P.order_key("period").alias("order_key"))
-
-
-@query("SELECT seg AS company, max(posted) AS updated, CAST(count(*) AS BIGINT) AS facts, min(text) AS text FROM (SELECT split_part(key, '/', 2) AS seg, posted, status || ' ' || priority AS text FROM rec) GROUP BY seg", A.RECORDS)
-def vw_companies(spark, d):
-    r = A.records(spark, d).select(F.split("key", "/")[1].alias("company"), "posted", F.concat_ws(" ", "status", "priority").alias("text"))
-    return r.groupBy("company").agg(F.max("posted").alias("updated"), F.count("*").alias("facts"), F.min("text").alias("text"))
-
-
-@query("SELECT segment AS course, CASE WHEN month(CAST(posted AS DATE)) >= 8 THEN year(CAST(posted AS DATE)) || '-fall' WHEN month(CAST(posted AS DATE)) = 1 THEN (year(CAST(posted AS DATE)) - 1) || '-fall' ELSE year(CAST(posted AS DATE)) || '-spring' END AS term, CAST(count(*) AS BIGINT) AS blocks FROM rec GROUP BY 1, 2", A.RECORDS)
-def vw_study(spark, d):
-    return A.records(spark, d).groupBy(F.col("segment").alias("course"), P.term("posted").alias("term")).agg(F.count("*").alias("blocks"))
-
-
-@query("SELECT segment, max(posted) AS newest, arg_max(key, posted || key) AS last_offer FROM rec GROUP BY segment", A.RECORDS)
-def vw_offers(spark, d):
-    return A.records(spark, d).groupBy("segment").agg(F.max("posted").alias("newest"), F.max_by("key", F.concat("posted", "key")).alias("last_offer"))
-
-
-@query("SELECT 'prune' AS name, path AS target, CAST(70 + least(30, floor(30.0 * (length(body) - char_limit) / char_limit)) AS BIGINT) AS priority, 'overflow:' || path AS dedup_key FROM fil WHERE length(body) > char_limit UNION ALL SELECT 'rollup', month, CAST(50 AS BIGINT), 'rollup:' || month FROM lve WHERE tier = 'day' AND month < '1998-08' AND month NOT IN (SELECT period FROM lve WHERE tier = 'month') GROUP BY month", A.FILES, A.HISTORY, LIVE)
-def trg_fire(spark, d):
-    from .run import fire
-
-    gaps = history.gaps(A.history(spark, d), "1998-08-20").filter("tier = 'month'")
-    return fire("1998-08-20", gaps=gaps, oversized=store.oversized(A.files(spark, d)))

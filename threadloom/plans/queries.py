@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions import text as X
-from ..operators import budget, chains, history, identity, progress, rendering, store
+from ..operators import budget, chains, history, identity, media, progress, rendering, store
 from ..sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +36,6 @@ TOK = "greatest(1, length({}) // 4)"
 # ------------------------------------------------------------------ sources and projections
 
 
-@query("SELECT id, date, sender_id, sender_name, text, reply_to FROM conv", A.CONVERSATIONS)
-def src_load(spark, d):
-    return A.conversations(spark, d).select("id", "date", "sender_id", "sender_name", "text", "reply_to")
-
-
 @query("SELECT id, date, sender_id, reply_to, post_id, media_type FROM evt", A.EVENTS)
 def src_events(spark, d):
     return A.events(spark, d).select("id", "date", "sender_id", "reply_to", "post_id", "media_type")
@@ -62,11 +57,6 @@ def prj_kind(spark, d):
     return A.events(spark, d).select("id", chains.kind().alias("kind"))
 
 
-@query("SELECT id, CASE WHEN topic_id IS NOT NULL THEN 'chat/topic:' || topic_id ELSE 'chat' END AS source FROM evt", A.EVENTS)
-def prj_source(spark, d):
-    return A.events(spark, d).withColumn("post_id", F.lit(None).cast("long")).select("id", chains.source().alias("source"))
-
-
 @query("SELECT user_id % 7 AS chat, CASE WHEN count(CASE WHEN event_type='click' THEN 1 END) > 0 THEN 'channel' ELSE 'group' END AS kind FROM events GROUP BY 1")
 def prj_chatkind(spark, d):
     return A.read(spark, d, "events").groupBy((F.col("user_id") % 7).alias("chat")).agg(F.when(F.max(F.col("event_type") == "click"), "channel").otherwise("group").alias("kind"))
@@ -77,18 +67,6 @@ def flt_content(spark, d):
     return A.history(spark, d).select("period", X.has_content("body").alias("live"))
 
 
-@query("SELECT id FROM evt WHERE media_type IN ('photo', 'video') AND id % 2 = 0", A.EVENTS)
-def flt_photo_todo(spark, d):
-    m = A.events(spark, d).withColumn("media_path", F.when(F.col("id") % 2 == 0, "p"))
-    return m.filter(F.col("media_type").isin("photo", "video") & F.col("media_path").isNotNull()).select("id")
-
-
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(substr(replace(text,'ß','ss'),1,40))), '[^\\p{L}\\p{N}\\p{M}_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents WHERE length(text) > 20")
-def slugify(spark, d):
-    docs = A.read(spark, d, "documents").filter(F.length("text") > 20)
-    return docs.select("doc_id", X.slugify(F.substring(F.regexp_replace("text", "ß", "ss"), 1, 40)).alias("slug"))
-
-
 # ------------------------------------------------------------------ identity
 
 
@@ -133,15 +111,6 @@ def id_labels(spark, d):
     return identity.labels(identity.people(A.conversations(spark, d)))
 
 
-@query(
-    f"""SELECT key, sender_id, grounded, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY key) = 1 THEN base ELSE base || '_' || substr(key, 3, 4) END AS label
- FROM (SELECT DISTINCT {KEY} AS key, sender_id, true AS grounded, '@' || sender_name AS base FROM conv)""",
-    A.CONVERSATIONS,
-)
-def id_vault(spark, d):
-    return identity.vault(identity.people(A.conversations(spark, d))).select("key", "sender_id", "grounded", "label")
-
-
 def _spoken(spark, d) -> DataFrame:
     """Events whose text names others by handle and by id."""
     e = A.events(spark, d)
@@ -159,19 +128,8 @@ def id_pseudo(spark, d):
 @query("SELECT id, 'ask @user' || h || ' about ' || CASE WHEN s IS NULL THEN CAST(n AS VARCHAR) ELSE '@u' || left(sha256('id:' || n), 8) END || ', x99 @me or @all' AS text FROM spk LEFT JOIN ids ON s = n", A.EVENTS, _SPOKEN)
 def id_scrub(spark, d):
     m = _spoken(spark, d)
-    ids = m.select("sender_id", X.person_key("sender_id", "sender_name").alias("key")).distinct()
-    return identity.lookups(m, r"(?U)\b\d+\b", 0, ids, "sender_id", "key").select("id", X.scrub_ids("text", F.col("found")).alias("text"))
-
-
-@query(
-    f"""SELECT id, 'ask ' || CASE WHEN h % 2 = 0 THEN '@u' || left(sha256('id:' || h), 8) ELSE '@u' || left(sha256('mention:user' || h), 8) END || ' about ' ||
- CASE WHEN s IS NULL THEN CAST(n AS VARCHAR) ELSE '@u' || left(sha256('id:' || n), 8) END || ', x99 @me or @all' AS text FROM spk LEFT JOIN ids ON s = n""",
-    A.EVENTS,
-    _SPOKEN,
-)
-def id_sanitize(spark, d):
-    known = spark.range(0, 13, 2).select(F.concat(F.lit("user"), F.col("id").cast("string")).alias("handle"), X.person_key("id", F.lit(None)).alias("key"))
-    return identity.sanitised(_spoken(spark, d), known).select("id", "text")
+    ids = m.select(F.col("sender_id").cast("string").alias("sender_id"), X.person_key("sender_id", "sender_name").alias("key")).distinct()
+    return identity.lookups(m, X.NUMBER, 0, ids, "sender_id", "key").select("id", X.scrub_ids("text", F.col("found")).alias("text"))
 
 
 @query(f"SELECT id, 'ask @user' || h || ' about ' || n || ', x99 ' || '@u' || left(sha256('id:' || sender_id), 8) || ' or @u1 @u2' AS text FROM spk", A.EVENTS, _SPOKEN)
@@ -179,13 +137,6 @@ def id_expand(spark, d):
     return _spoken(spark, d).select("id", X.expand_groups("text", F.lit("@u1 @u2"), X.person_key("sender_id", "sender_name")).alias("text"))
 
 
-@query(f"SELECT sender_id AS id, 'by @user' || sender_id || ' and @u00000000' AS text FROM (SELECT DISTINCT sender_id FROM evt)", A.EVENTS)
-def id_humanize(spark, d):
-    p = identity.people(A.events(spark, d))
-    texts = p.select(F.col("sender_id").alias("id"), F.concat(F.lit("by "), F.col("key"), F.lit(" and @u00000000")).alias("text"))
-    return identity.humanised(texts, identity.labels(p)).select("id", "text")
-
-
 # ------------------------------------------------------------------ chains and atoms
 
 ROOTS = """prt AS (SELECT m.id, p.id AS up FROM evt m LEFT JOIN evt p ON m.reply_to = p.id),
@@ -234,13 +185,6 @@ def grp_posts(spark, d):
     return p.select("post_id", F.when(F.size("comments") > 0, joined).alias("comments"), "present")
 
 
-@query(f"SELECT {KEY} AS person, CAST(count(DISTINCT root) AS BIGINT) AS atoms FROM crt GROUP BY 1", A.CONVERSATIONS, CONV_ROOTS)
-def grp_people(spark, d):
-    a = chains.atoms(chains.with_root(A.conversations(spark, d)))
-    who = F.array_distinct(F.transform("members", lambda m: X.person_key(m["sender_id"], m["sender_name"])))
-    return a.select("root", F.explode(who).alias("person")).groupBy("person").agg(F.count("*").alias("atoms"))
-
-
 @query("SELECT day, CAST(count(*) AS BIGINT) AS atoms FROM (SELECT root, max(substr(date,1,10)) AS day FROM crt GROUP BY root) GROUP BY day", A.CONVERSATIONS, CONV_ROOTS)
 def grp_history(spark, d):
     a = chains.atoms(chains.with_root(A.conversations(spark, d)))
@@ -249,32 +193,6 @@ def grp_history(spark, d):
 
 # ------------------------------------------------------------------ rendering
 
-LINE = f"'[' || substr(date,12,5) || '] ' || {KEY} || ':' || CASE WHEN text <> '' THEN ' ' || text ELSE '' END"
-
-
-@query(f"SELECT id, {LINE} AS line FROM conv", A.CONVERSATIONS)
-def rnd_message(spark, d):
-    m = A.conversations(spark, d)
-    return m.select("id", rendering.line(*map(F.col, ("date", "sender_id", "sender_name", "text"))).alias("line"))
-
-
-CONTENT = f"txt AS (SELECT root, string_agg({LINE}, chr(10) ORDER BY date, id) AS content, max(date) AS leaf_date FROM crt GROUP BY root)"
-
-
-def _contents(spark, d) -> DataFrame:
-    return rendering.atom_text(chains.atoms(chains.with_root(A.conversations(spark, d))))
-
-
-@query("SELECT root, content FROM txt", A.CONVERSATIONS, CONV_ROOTS, CONTENT)
-def rnd_atom(spark, d):
-    return _contents(spark, d).select("root", "content")
-
-
-@query(f"SELECT day, '## ' || day || chr(10) || string_agg({LINE}, chr(10) ORDER BY date, id) AS content FROM (SELECT *, substr(date,1,10) AS day FROM conv) GROUP BY day", A.CONVERSATIONS)
-def rnd_day(spark, d):
-    return rendering.days(A.conversations(spark, d)).select("day", "content")
-
-
 @query(
     """SELECT id, CASE media_type WHEN 'photo' THEN CASE WHEN id % 2 = 0 THEN '[photo: d' || id || ']' ELSE '[photo: vision unavailable]' END
  WHEN 'video' THEN CASE WHEN id % 2 = 0 THEN '[video thumbnail: d' || id || ']' ELSE '[file: ' || CASE WHEN id % 3 = 0 THEN 'f' || id ELSE 'video' END || ' — thumbnail not described]' END
@@ -284,14 +202,14 @@ def rnd_day(spark, d):
 def rnd_slots(spark, d):
     i = F.col("id").cast("string")
     desc, name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("d"), i)), F.when(F.col("id") % 3 == 0, F.concat(F.lit("f"), i))
-    return A.events(spark, d).select("id", rendering.slots(F.col("media_type"), desc, name).alias("slot"))
+    return A.events(spark, d).select("id", media.slots(F.col("media_type"), desc, name).alias("slot"))
 
 
 @query("SELECT n_nationkey AS id, '  [poll' || CASE WHEN n_nationkey % 2 = 0 THEN ' (quiz)' ELSE '' END || ': ' || n_name || ']' || chr(10) || '    - yes — ' || n_regionkey || ' votes' || chr(10) || '    - no' || chr(10) || '    (' || n_nationkey || ' total voters' || CASE WHEN n_nationkey % 3 = 0 THEN ', closed' ELSE '' END || ')' AS text FROM nation")
 def rnd_poll(spark, d):
     n = A.read(spark, d, "nation")
     options = F.array(F.struct(F.lit("yes").alias("text"), F.col("n_regionkey").cast("long").alias("voters")), F.struct(F.lit("no").alias("text"), F.lit(None).cast("long").alias("voters")))
-    return n.select(F.col("n_nationkey").alias("id"), rendering.poll(F.col("n_name"), options, F.col("n_nationkey"), F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") % 3 == 0).alias("text"))
+    return n.select(F.col("n_nationkey").alias("id"), media.poll(F.col("n_name"), options, F.col("n_nationkey"), F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") % 3 == 0).alias("text"))
 
 
 @query("SELECT conv_id*1000+turn AS id, '# ' || upper(role) || chr(10) || '```' || chr(10) || '# keep ' || role || chr(10) || '```' || chr(10) || '## ' || upper('end ' || conv_id) AS text FROM conversations")
@@ -316,11 +234,6 @@ def tok_est(spark, d):
     return A.conversations(spark, d).select("id", X.tokens("text").alias("tokens"))
 
 
-@query(f"SELECT root, CAST({TOK.format('content')} AS BIGINT) AS tokens FROM txt", A.CONVERSATIONS, CONV_ROOTS, CONTENT)
-def tok_atom(spark, d):
-    return _contents(spark, d).select("root", X.tokens("content").alias("tokens"))
-
-
 @query("SELECT n_nationkey AS i, CAST(floor(32000 * (0.1 + n_nationkey / 40.0)) - 500 AS BIGINT) AS summary, CAST(32000 - floor(32000 * (0.1 + n_nationkey / 40.0)) AS BIGINT) AS work FROM nation")
 def bud_run(spark, d):
     part = F.floor(32000 * (0.1 + F.col("n_nationkey") / 40.0))
@@ -353,59 +266,6 @@ def bud_alloc(spark, d):
     return budget.allocate(_costs(spark, d), F.lit(50000), ["per"]).select("per", "section", "share")
 
 
-@query("SELECT per, section, cost FROM cst", COSTS)
-def view_cost(spark, d):
-    return _costs(spark, d)
-
-
-@query(
-    f""", blk AS (SELECT lang, doc_id, {TOK.format('body')} AS cost, updated FROM fil WHERE trim(body) <> ''),
- run AS (SELECT lang, doc_id, sum(cost) OVER w AS running, row_number() OVER w AS k FROM blk WINDOW w AS (PARTITION BY lang ORDER BY updated DESC, doc_id DESC ROWS UNBOUNDED PRECEDING))
- SELECT lang, doc_id, CAST(running AS BIGINT) AS running FROM run WHERE k = 1 OR 10 + running <= 5000""".lstrip(", "),
-    A.FILES,
-)
-def crop(spark, d):
-    b = A.files(spark, d)
-    c = budget.crop(b, F.lit(5000), F.lit(10), ["lang"], ["updated", "doc_id"], "body")
-    return c.filter("kept").select("lang", "doc_id", "running")
-
-
-SQL["crop"] = SQL["crop"].replace(A.FILES + " blk", A.FILES + ", blk")
-
-
-@query(
-    """SELECT chat, batch, CAST(count(*) AS BIGINT) AS atoms, CAST(sum(cost) AS BIGINT) AS tokens, min(seq) AS first_seq FROM pck GROUP BY chat, batch""",
-    A.CONVERSATIONS,
-    CONV_ROOTS,
-    CONTENT,
-    f"tkn AS (SELECT root % 7 AS chat, root, row_number() OVER (PARTITION BY root % 7 ORDER BY leaf_date, root) AS seq, {TOK.format('content')} AS cost FROM txt)",
-    """pck AS (SELECT chat, seq, cost, cost AS used, CAST(0 AS BIGINT) AS batch FROM tkn WHERE seq = 1
- UNION ALL SELECT t.chat, t.seq, t.cost, CASE WHEN p.used + t.cost > 4000 THEN t.cost ELSE p.used + t.cost END, p.batch + CASE WHEN p.used + t.cost > 4000 THEN 1 ELSE 0 END FROM tkn t JOIN pck p ON t.chat = p.chat AND t.seq = p.seq + 1)""",
-)
-def pack(spark, d):
-    """Report-ready batches: messages to chains to atoms to tokens to batches."""
-    from .report import batched
-
-    return batched(A.conversations(spark, d), F.col("root") % 7, 4000)
-
-
-@query(
-    """SELECT per, section, any_value(share) AS share, sha256('# ' || section || chr(10) || chr(10) || CASE WHEN count(*) FILTER (NOT kept) > 0 THEN '(' || count(*) FILTER (NOT kept) || ' older left out)' || chr(10) || chr(10) ELSE '' END
- || string_agg(body, chr(10) || chr(10) ORDER BY updated, doc_id) FILTER (kept)) AS digest FROM kpt GROUP BY per, section""",
-    A.FILES,
-    COSTS,
-    _fill(20_000),
-    f"blk AS (SELECT lang AS per, source AS section, doc_id, updated, body, {TOK.format('body')} AS cost FROM fil WHERE trim(body) <> '')",
-    "run AS (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS k FROM blk WINDOW w AS (PARTITION BY per, section ORDER BY updated DESC, doc_id DESC ROWS UNBOUNDED PRECEDING))",
-    "kpt AS (SELECT r.*, CAST(f.share AS BIGINT) AS share, k2.kept FROM run r JOIN fill f ON r.per = f.per AND r.section = f.section, LATERAL (SELECT r.k = 1 OR greatest(1, length('# ' || r.section) // 4) + r.running <= f.share AS kept) k2)",
-)
-def assemble(spark, d):
-    from .report import assembled
-
-    f = A.files(spark, d).select(F.col("lang").alias("per"), F.col("source").alias("section"), "body", "updated", "doc_id")
-    return assembled(f, 20000).select("per", "section", "share", F.sha2("text", 256).alias("digest"))
-
-
 @query("SELECT doc_id, CAST(unnest(range(len(b))) AS BIGINT) AS position, unnest(b) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents)")
 def vw_world(spark, d):
     return A.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text")).withColumn("position", F.col("position").cast("long"))
@@ -462,11 +322,6 @@ def st_oversize(spark, d):
     return store.oversized(A.files(spark, d)).select("path", "excess")
 
 
-@query("SELECT path FROM fil WHERE path LIKE 'de/src1/%'", A.FILES)
-def st_list(spark, d):
-    return A.files(spark, d).filter(F.col("path").startswith("de/src1/")).select("path").orderBy("path")
-
-
 @query("SELECT key, status, total FROM rec WHERE key LIKE 'orders/1%' AND lower(status) LIKE '%o%' AND total >= 100000 AND priority IN ('1-URGENT', '2-HIGH') ORDER BY total DESC, key LIMIT 50", A.RECORDS)
 def st_query(spark, d):
     return store.query(A.records(spark, d), "orders/1", {"status": "o", "total": ">=100000", "priority": ["1-URGENT", "2-HIGH"]}, "-total", 50).select("key", "status", "total")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import budget, chains, rendering
+from ..operators import budget, chains, identity, rendering
 
 
-def batched(messages: DataFrame, chat: Column, capacity: int) -> DataFrame:
-    """Messages to atoms to batches: per chat and batch its atoms, their tokens and the first of them."""
-    a = rendering.atom_text(chains.atoms(chains.with_root(messages)))
+def batched(messages: DataFrame, chat: Column, capacity: int, per: Sequence[str] = ()) -> DataFrame:
+    """Messages to sanitised atoms to batches: per chat and batch its atoms, their tokens and the first of them. per: the
+    columns by which people are known (see identity.sanitised)."""
+    told = identity.sanitised(chains.described(messages), per)
+    a = rendering.atom_text(chains.atoms(chains.with_root(told)))
     a = a.select(chat.alias("chat"), "root", "leaf_date", "leaf_id", X.tokens("content").alias("cost"))
     a = a.withColumn("seq", F.row_number().over(W.partitionBy("chat").orderBy("leaf_date", "leaf_id")).cast("long"))
     packed = chains.batches(a.select("chat", "seq", "cost"), capacity, ["chat"])

@@ -130,3 +130,55 @@ HISTORY = """dys AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS d FROM
   UNION SELECT substr(d,1,4) || '-q' || CAST((CAST(substr(d,6,2) AS INTEGER)+2)//3 AS VARCHAR), 3 FROM dys UNION SELECT substr(d,1,4), 2 FROM dys),
  hst AS (SELECT period, CASE WHEN CAST(regexp_replace(period, '\\D', '', 'g') AS BIGINT) % 11 = 0 THEN '(nothing to report)' ELSE 'What happened in ' || period END AS body
   FROM prd WHERE CAST(regexp_replace(period, '\\D', '', 'g') AS BIGINT) % m <> 0)"""
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs of whole messages, a chat each: with handles, ids and groups in texts, usernames, mentions,
+    media, topics and named sources."""
+    c = read(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    base = conversations(spark, sf_dir).select("id", "date", "sender_name", "reply_to")
+    text = lambda x: x.cast("string")
+    said = (
+        F.when(turn % 5 == 0, F.concat(F.lit(" cc @user"), text(conv), F.lit(" and @Guest"), text(turn % 3)))
+        .when(turn % 5 == 1, F.concat(F.lit(" see "), text(900000000000 + conv * 10 + 1), F.lit(" or 0"), text(900000000000 + conv * 10 + 1)))
+        .when(turn % 5 == 2, " @all, from @me")
+        .otherwise(" mail a@b.org")
+    )
+    mention = F.array(
+        F.struct(F.concat(F.lit("Silent"), text(conv)).alias("handle"), (800000000000 + conv).alias("user_id"), F.lit("Silent One").alias("name"), F.lit(True).alias("real")),
+        F.struct(F.lit("x").alias("handle"), F.lit(None).cast("long").alias("user_id"), F.lit("x").alias("name"), F.lit(False).alias("real")),
+    )
+    role = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    own = c.select(
+        conv.alias("chat"),
+        (conv * 1000 + turn).alias("own_id"),
+        (900000000000 + conv * 10 + role).alias("sender_id"),
+        F.concat("text", said).alias("text"),
+        F.when(F.col("role") == "user", F.concat(F.lit("@User"), text(conv))).alias("sender_username"),
+        F.when(conv % 3 == 1, conv % 7).alias("topic_id"),
+        F.lit(None).cast("long").alias("post_id"),
+        F.when(turn % 6 == 0, "photo").when(turn % 6 == 1, "file").when(turn % 6 == 3, "geo").alias("media_type"),
+        F.when(turn % 12 == 0, "by @Guest1").alias("photo_desc"),
+        F.when(turn % 6 == 1, F.parse_json(F.concat(F.lit('{"filename":"f @user'), text(conv), F.lit('"}')))).when(turn % 6 == 3, F.parse_json(F.lit('{"lat":1,"long":2}'))).alias("media_meta"),
+        F.when(turn % 4 == 1, mention).alias("mentions"),
+        F.when(conv % 3 == 0, F.parse_json(F.concat(F.lit('{"source":"proj'), text(conv % 5), F.lit('"}')))).alias("extra"),
+    )
+    return base.join(own, F.col("id") == F.col("own_id")).drop("own_id")
+
+
+def _key(kind: str, value: str) -> str:
+    return f"'@u' || left(sha256('{kind}:' || {value}), 8)"
+
+
+TALK = f"""tlk AS (SELECT conv_id AS chat, turn, conv_id*1000+turn AS id, conv_id*1000 AS root, CAST(DATE '2024-01-01' + CAST(conv_id % 366 AS INTEGER) AS VARCHAR) || 'T' || lpad(CAST(conv_id % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':00' AS date,
+ 900000000000 + conv_id*10 + CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS sender_id, role, text,
+ CASE conv_id % 3 WHEN 0 THEN 'proj' || conv_id % 5 WHEN 1 THEN 'chat/topic:' || conv_id % 7 ELSE 'chat' END AS source FROM conversations),
+ who AS (SELECT *, {_key("id", "sender_id")} AS who, {_key("id", "(800000000000 + chat)")} AS silent FROM tlk),
+ per AS (SELECT DISTINCT chat, who AS key, sender_id, role AS name, CASE role WHEN 'user' THEN 'User' || chat END AS username FROM who UNION SELECT DISTINCT chat, silent, 800000000000 + chat, 'Silent One', 'Silent' || chat FROM who WHERE turn % 4 = 1),
+ rst AS (SELECT chat, string_agg(key, ' ' ORDER BY key) AS everyone, coalesce(max(key) FILTER (name = 'user'), {_key("mention", "'user' || chat")}) AS ukey, bool_or(name = 'user') AS has_user FROM per GROUP BY chat),
+ san AS (SELECT who.*, everyone, ukey, text || CASE turn % 5 WHEN 0 THEN ' cc ' || ukey || ' and ' || {_key("mention", "'guest' || turn % 3")}
+  WHEN 1 THEN ' see ' || CASE WHEN has_user THEN ukey ELSE CAST(900000000000 + chat*10 + 1 AS VARCHAR) END || ' or 0' || (900000000000 + chat*10 + 1)
+  WHEN 2 THEN ' ' || everyone || ', from ' || who ELSE ' mail a@b.org' END AS clean,
+  CASE WHEN turn % 12 = 0 THEN '[photo: by ' || {_key("mention", "'guest1'")} || ']' WHEN turn % 6 = 0 THEN '[photo: vision unavailable]' WHEN turn % 6 = 1 THEN '[file: f ' || ukey || ']' WHEN turn % 6 = 3 THEN '[location: 1, 2]' END AS slot
+  FROM who JOIN rst USING (chat))"""
