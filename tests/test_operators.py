@@ -1,5 +1,6 @@
 """Cases that no table carries: cycles, lost parents, header fences, edits, importers, identities, streams."""
 
+import hashlib
 import json
 
 import pytest
@@ -88,8 +89,8 @@ def test_allocation_never_overspends_and_is_fair(spark, costs, total):
 
 def test_crop_keeps_the_newest_even_over_budget(spark):
     b = spark.createDataFrame([("p", 1, "a" * 40), ("p", 2, "b" * 400), ("p", 3, " ")], "per string, pos long, text string")
-    kept = budget.crop(b, F.lit(10), F.lit(1), ["per"], ["pos"]).filter("kept").collect()
-    assert [r["pos"] for r in kept] == [2]
+    kept = budget.crop(b, F.lit(10), F.lit(1), ["per"], ["pos"], 10).collect()
+    assert [(r["pos"], r["left_out"]) for r in kept] == [(2, 1)]
 
 
 def test_budget_of_a_run():
@@ -112,11 +113,118 @@ def test_mentions_and_mail(spark):
     assert got == "a@mail.com @u1 @me жук@alice @Al"
 
 
+WHOLE = M + ", sender_username string, mentions array<struct<handle string, user_id bigint, name string, real boolean>>, slots array<string>"
+
+
+def whole(i, sender=1, name="Ann", text="hi", user=None, mentions=None, slots=(), date="2024-01-01T10:00"):
+    return (*msg(i, date=date, sender=sender, name=name, text=text), user, mentions, list(slots))
+
+
 def test_sanitised_text_has_no_handle_or_id(spark):
-    m = spark.createDataFrame([msg(1, sender=555, text="see 555 and @bob, not 5551"), msg(2, sender=7, text=None)], M)
-    handles = spark.createDataFrame([("bob", "@u9")], "handle string, key string")
-    got = {r["id"]: r["text"] for r in identity.sanitised(m, handles).collect()}
-    assert got[1] == "see @ud8578a45 and @u9, not 5551" and got[2] is None
+    rows = [
+        whole(1, 555, "Ann", "see 555 and @bob, not 5551 or 0555", slots=["[photo: by @Bob for 555]"]),
+        whole(2, 7, "Bob", None, user="@Bob"),
+        whole(3, 7, "Bob", "@all hear @me, @everyone", mentions=[("Carl", 9, "Carl", True), ("x", None, "x", False)]),
+        whole(4, 7, "Bob", "mail a@b.org, ask @carl or @Nobody"),
+    ]
+    got = {r["id"]: r for r in identity.sanitised(spark.createDataFrame(rows, WHOLE)).collect()}
+    key = {n: "@u" + hashlib.sha256(f"id:{n}".encode()).hexdigest()[:8] for n in (555, 7, 9)}
+    assert got[1]["text"] == f"see {key[555]} and {key[7]}, not 5551 or 0555" and got[1]["slots"] == [f"[photo: by {key[7]} for {key[555]}]"]
+    assert got[2]["text"] is None
+    everyone = " ".join(sorted(key.values()))
+    assert got[3]["text"] == f"{everyone} hear {key[7]}, {everyone}"
+    assert got[4]["text"] == f"mail a@b.org, ask {key[9]} or @u{hashlib.sha256(b'mention:nobody').hexdigest()[:8]}"
+
+
+def test_people_keep_names_and_usernames_in_order(spark):
+    rows = [whole(1, 1, "Ann", user="ann"), whole(2, 1, "Ann B", user="@ann2", date="2024-01-02"), whole(3, None, None, date="2024-01-03"), whole(4, 2, "Di", mentions=[("carl", 9, "Carl", True)], date="2024-01-04")]
+    m = spark.createDataFrame(rows, WHOLE)
+    got = {r["sender_id"]: r for r in identity.people(m).collect()}
+    assert got[1]["names"] == ["Ann", "Ann B"] and got[1]["usernames"] == ["ann", "ann2"] and got[1]["n_messages"] == 2
+    assert got[9]["names"] == ["Carl"] and got[9]["n_messages"] == 0 and not got[None]["grounded"]
+    assert {r["handle"] for r in identity.handles(m).collect()} == {"ann", "ann2", "carl"}
+
+
+def test_strangers_go_to_the_vault_and_back(spark):
+    m = spark.createDataFrame([whole(1, 1, "Ann", "ask @Nobody", user="ann"), whole(2, 1, "Ann", "or @nobody @ann @me", date="2024-01-02")], WHOLE)
+    people, unknown = identity.people(m), identity.strangers(m, identity.handles(m))
+    rows = identity.vault(people, unknown).collect()
+    assert [(r["label"], r["mention_only"]) for r in sorted(rows, key=lambda r: r["mention_only"])] == [("@ann", False), ("@Nobody", True)]
+    key = next(r["key"] for r in rows if r["mention_only"])
+    t = spark.createDataFrame([(1, f"so {key} said")], "id long, text string")
+    assert identity.humanised(t, identity.readable(people, unknown)).collect()[0]["text"] == "so @Nobody said"
+
+
+def test_atoms_name_their_source_and_whom_they_mention(spark):
+    rows = [(1, None, "2024-01-01T10:00", 1, "Ann", "hi @bob", None, "photo", '{"resend":true}', [("bob", 2, "Bob", True)], '{"source":"proj"}'), (2, 1, "2024-01-01T10:01", 2, "Bob", "yes", "bob", None, None, None, None)]
+    m = spark.createDataFrame(rows, "id long, reply_to long, date string, sender_id long, sender_name string, text string, sender_username string, media_type string, meta string, mentions array<struct<handle string, user_id bigint, name string, real boolean>>, ex string")
+    m = m.withColumns({"media_meta": F.try_parse_json("meta"), "extra": F.try_parse_json("ex"), "post_id": F.lit(None).cast("long"), "topic_id": F.lit(None).cast("long")}).drop("meta", "ex")
+    from threadloom.operators import rendering
+
+    told = identity.sanitised(chains.described(m))
+    a = rendering.atom_text(chains.atoms(chains.with_root(told.filter("id = 1")))).collect()[0]
+    bob, ann = ("@u" + hashlib.sha256(f"id:{n}".encode()).hexdigest()[:8] for n in (2, 1))
+    assert a["content"] == f"[source: proj]\n[10:00] {ann}: hi {bob}\n  [photo: re-sent image — vision unavailable]"
+    assert a["mentions"] == [bob] and a["source"] == "proj"
+    assert sorted(r["group"] for r in chains.by_person(chains.atoms(chains.with_root(told))).collect()) == [bob]
+
+
+def test_rewrite_that_fails_leaves_the_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log.append_log(spark.createDataFrame([msg(1)], M), path)
+    with pytest.raises(Exception):
+        log.rewrite_log(spark.createDataFrame([msg(2)], M).withColumn("text", F.raise_error(F.lit("no")).cast("string")), path)
+    assert log.read_log(spark, path).select("id").collect()[0][0] == 1
+
+
+def test_conversation_ends_with_a_text_or_out_of_rounds():
+    files = {}
+
+    def client(prompt, given):
+        return "done" if given and given[-1][1] == "ok" else [("write", {"path": "p", "body": "b"}), ("read", {"path": "none"})] if not given else [("read", {"path": "p"})]
+
+    def write(path, body):
+        files[path] = body
+
+    def read(path):
+        files[path]
+        return "ok"
+
+    assert writer.converse(client, "x", {"write": write, "read": read}) == "done" and files == {"p": "b"}
+    assert writer.converse(lambda p, g: [("read", {"path": "q"})], "x", {"read": read}, rounds=3) is None
+
+
+def test_pictures_are_found_as_they_are_or_under_the_chat(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.png").write_bytes(b"1")
+    m = spark.createDataFrame([("m/a.png",), (str(tmp_path / "m" / "a.png"),), ("gone.jpg",), (None,)], "media_path string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    got = {r["media_path"]: (r["image"], r["image_type"]) for r in writer.with_image(m, files, str(tmp_path)).collect()}
+    assert got["m/a.png"] == (bytearray(b"1"), "image/png") == got[str(tmp_path / "m" / "a.png")] and got["gone.jpg"] == (None, None) == got[None]
+
+
+def test_prompts_and_profile(spark, tmp_path):
+    assert "history:" in writer.system_prompt(sections.build({"history": {}, "world": {}})) and "list_files('a/<b>/')" in writer.discovery("a/", ["b", "c"])
+    (tmp_path / "p.md").write_text(" likes rain \n")
+    assert log.profile(spark, [None, str(tmp_path / "none"), str(tmp_path / "p.md")]) == "likes rain" and log.profile(spark, []) == "(no profile)"
+    from threadloom.plans import run
+
+    assert len(spark.range(1).select(run.now_iso()).collect()[0][0]) == 20
+
+
+def test_time_rules():
+    from threadloom.plans import triggers
+
+    assert triggers.due("days:30", None, "2024-02-01") == (True, None) and triggers.due("days:30", "2024-01-20", "2024-02-01") == (False, None)
+    assert triggers.due("deadline:12-01,05-01", "2023-11-30", "2024-05-01") == (True, "2024-05-01") and triggers.due("deadline:12-01", "2024-12-01", "2024-12-09") == (False, None)
+
+
+def test_view_of_a_section_without_blocks(spark):
+    from threadloom.plans import report
+
+    b = spark.createDataFrame([("x", "key_facts", " ", 1, 1), ("x", "world", "w", 1, 1)], "per string, section string, body string, updated long, doc_id long")
+    got = {r["section"]: r["text"] for r in report.assembled(b, 100).collect()}
+    assert got == {"key_facts": "# Key Facts\n\n(none yet)", "world": "# World\n\nw"}
 
 
 def test_two_of_a_name(spark):
@@ -190,7 +298,7 @@ def test_sections_and_writer(spark):
             raise writer.Retry("busy")
         return "ok"
 
-    assert writer.with_retries(busy, "p", sleep=lambda s: None) == ("ok", None)
+    assert writer.with_retries(busy, "p", sleep=lambda s: None) == ("ok", None, None)
     out = writer.write(spark.createDataFrame([("k", "a: b")], "key string, prompt string")).collect()[0]
     assert out["reply"] == "b" and out["error"] is None and not out["too_long"]
 
@@ -237,7 +345,7 @@ def test_report_goes_to_three_places(spark, tmp_path):
 
 
 def test_slots_of_pictures(spark):
-    from threadloom.operators import rendering
+    from threadloom.operators import media
 
     df = spark.createDataFrame([("photo", None, True, False), ("photo", None, False, True), ("photo", "a cat", True, True), ("video", None, None, None), (None, None, None, None)], "k string, d string, r boolean, f boolean")
     got = [x[0] for x in df.select(media.slots(F.col("k"), F.col("d"), F.lit(None).cast("string"), F.col("r"), F.col("f"))).collect()]

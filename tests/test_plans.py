@@ -1,4 +1,4 @@
-"""Plans: nothing runs in Python but the ordered walk of `pack`, and nothing is joined without a key."""
+"""Plans: nothing runs in Python but the ordered walk of `pack` and the calls of a model, and nothing is joined without a key."""
 
 import re
 
@@ -7,7 +7,8 @@ import pytest
 from threadloom import registry
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"pack"}
+#: The ordered walk, and the calls of a model.
+PYTHON = {"pack", "llm_run", "vis_describe"}
 #: One row beside at most three: what stands in when a month has no day.
 BESIDE_ONE_ROW = {"agg_taper"}
 

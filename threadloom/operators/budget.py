@@ -45,24 +45,43 @@ def allocate(costs: DataFrame, budget: Column, per: list[str], by: str = "sectio
     return d.withColumn("share", F.when(F.col("first").isNotNull() & late, F.col("first.f")).otherwise(F.col(cost)).cast("long")).drop("fair", "first")
 
 
-def crop(blocks: DataFrame, budget: Column, header: Column, per: list[str], order: list[str], body: str = "text") -> DataFrame:
+def crop(blocks: DataFrame, budget: Column, header: Column, per: list[str], order: list[str], most: int, body: str = "text") -> DataFrame:
     """The newest blocks of each group that fit a budget: a suffix in order, at least one; blank blocks go.
 
-    Adds kept and the running cost from the newest."""
+    Adds running, the cost from the newest, and left_out, how many others the group has. A block costs a token at least, so
+    no group needs more than its newest most + 1 rows (most: no budget is larger), and no more of it meet in one task."""
     b = blocks.filter(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").withColumn("cost", X.tokens(body))
     w = W.partitionBy(*per).orderBy(*[F.col(o).desc() for o in order])
+    newest = b.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most + 1)
     run = F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return b.withColumn("running", run).withColumn("kept", (F.row_number().over(w) == 1) | (header + F.col("running") <= budget))
+    kept = newest.withColumn("running", run).filter((F.col("place") == 1) | (header + F.col("running") <= budget))
+    sizes = b.groupBy(*[F.col(c).alias(f"of_{c}") for c in per]).agg(F.count("*").alias("n_blocks"))
+    on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in per]
+    joined = kept.withColumn("n_kept", F.count("*").over(W.partitionBy(*per))).join(sizes, on)
+    return joined.withColumn("left_out", F.col("n_blocks") - F.col("n_kept")).drop("place", "n_kept", "n_blocks", *[f"of_{c}" for c in per])
 
 
 def drain(tasks: DataFrame, now: int, cap: int) -> DataFrame:
-    """Tasks by priority plus age, with those that a run with a cap of tokens gets to: it stops once the tokens and the
-    round costs of what it took reach the cap."""
+    """The tasks that a run with a cap of tokens gets to, by priority plus age, with their place: it stops once the tokens
+    and the round costs of what it took reach the cap. A round costs, so only so many tasks are put in order."""
     eff = F.col("priority") + 3 * (F.lit(now) - F.col("created_batch"))
-    w = W.orderBy(F.col("eff").desc(), "created_batch", "seq")
-    d = tasks.withColumn("eff", eff)
+    order = [F.col("eff").desc(), F.col("created_batch"), F.col("seq")]
+    d = tasks.withColumn("eff", eff).orderBy(*order).limit(cap // ROUND_COST + 2)
+    w = W.orderBy(*order)
     before = F.coalesce(F.sum(F.col("tokens") + ROUND_COST).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return d.withColumn("place", F.row_number().over(w).cast("long")).withColumn("taken", before < cap)
+    return d.withColumn("place", F.row_number().over(w).cast("long")).withColumn("before", before).filter(F.col("before") < cap).drop("before")
+
+
+def requeue(taken: DataFrame, failed: DataFrame, key: str = "dedup_key") -> DataFrame:
+    """Of the tasks that a run took, those to queue again: what failed (key) for the first time; `tries` counts."""
+    t = taken if "tries" in taken.columns else taken.withColumn("tries", F.lit(0))
+    return t.join(failed.select(key).distinct(), key, "left_semi").filter("tries = 0").withColumn("tries", F.col("tries") + 1)
+
+
+def share(setting: Column) -> Column:
+    """share_of as a column."""
+    v = setting.try_cast("double")
+    return F.when(v.isNull(), SHARE).otherwise(F.least(F.lit(0.9), F.greatest(F.lit(0.1), v)))
 
 
 def first_of_key(tasks: DataFrame, key: str = "dedup_key", seq: str = "seq") -> DataFrame:

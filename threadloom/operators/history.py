@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions import text as X
+from .lineage import cut
 
 
 def index(files: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def taper(files: DataFrame, today: str) -> DataFrame:
     earlier quarters, this quarter's earlier months, this month's days; finer tiers stand in for missing ones."""
     this_month, this_year = today[:7], today[:4]
     this_quarter = f"{this_year}-q{(int(today[5:7]) + 2) // 3}"
-    live = index(files).filter(X.has_content("body")).select("period", "tier", "month", "quarter", "year")
+    live = cut(index(files).filter(X.has_content("body")).select("period", "tier", "month", "quarter", "year"))
     old, past_q = F.col("year") < this_year, (F.col("year") == this_year) & (F.col("quarter") < this_quarter)
     past_m = (F.col("quarter") == this_quarter) & (F.col("month") < this_month)
     zone = F.when(old, 0).when(past_q, 1).when(past_m, 2).when((F.col("tier") == "day") & (F.col("month") == this_month) & (F.col("period") <= today), 3)
@@ -47,23 +48,28 @@ def taper(files: DataFrame, today: str) -> DataFrame:
     return shown.select("period", "tier").unionByName(cand)
 
 
+def parts(indexed: DataFrame) -> DataFrame:
+    """Files as parts of the next coarser period: (period, tier, part)."""
+    t = F.col("tier")
+    up = F.when(t == "day", F.struct(F.col("month").alias("period"), F.lit("month").alias("tier"))).when(t == "month", F.struct(F.col("quarter").alias("period"), F.lit("quarter").alias("tier"))).when(t == "quarter", F.struct(F.col("year").alias("period"), F.lit("year").alias("tier")))
+    return indexed.select(up.alias("up"), F.col("period").alias("part")).filter("up is not null").select("up.*", "part")
+
+
 def gaps(files: DataFrame, today: str) -> DataFrame:
     """Finished periods without a file whose parts have files: period, tier and its sorted sources."""
-    i = index(files.filter(X.has_content("body")))
-    out = None
-    for fine, coarse in (("day", "month"), ("month", "quarter"), ("quarter", "year")):
-        now = {"month": today[:7], "quarter": f"{today[:4]}-q{(int(today[5:7]) + 2) // 3}", "year": today[:4]}[coarse]
-        g = i.filter((F.col("tier") == fine) & (F.col(coarse) < now)).groupBy(F.col(coarse).alias("period")).agg(F.array_sort(F.collect_set("period")).alias("sources"))
-        g = g.join(i.filter(F.col("tier") == coarse).select("period"), "period", "left_anti").withColumn("tier", F.lit(coarse))
-        out = g if out is None else out.unionByName(g)
-    return out.select("period", "tier", "sources")
+    i = cut(index(files).filter(X.has_content("body")).select("period", "tier", "month", "quarter", "year"))
+    now = F.when(F.col("tier") == "month", today[:7]).when(F.col("tier") == "quarter", f"{today[:4]}-q{(int(today[5:7]) + 2) // 3}").otherwise(today[:4])
+    g = parts(i).filter(F.col("period") < now).groupBy("period", "tier").agg(F.array_sort(F.collect_set("part")).alias("sources"))
+    return g.join(i.select("period"), "period", "left_anti").select("period", "tier", "sources")
 
 
 def plan(files: DataFrame) -> DataFrame:
     """Every period that has parts, from fine to coarse, with its sorted parts."""
-    i = index(files)
-    out = None
-    for level, (fine, coarse) in enumerate((("day", "month"), ("month", "quarter"), ("quarter", "year"))):
-        g = i.filter(F.col("tier") == fine).groupBy(F.col(coarse).alias("period")).agg(F.array_sort(F.collect_set("period")).alias("sources")).withColumn("level", F.lit(level).cast("long"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    level = F.when(F.col("tier") == "month", 0).when(F.col("tier") == "quarter", 1).otherwise(2)
+    return parts(index(files)).groupBy("period", "tier").agg(F.array_sort(F.collect_set("part")).alias("sources")).select("period", "sources", level.cast("long").alias("level"))
+
+
+def blocks(files: DataFrame, today: str) -> DataFrame:
+    """The view: tapered periods by their start, each under its display name."""
+    shown = taper(files, today).select("period")
+    return files.join(shown, "period", "left_semi").select("period", P.order_key("period").alias("order_key"), F.concat(F.lit("## "), P.display("period"), F.lit("\n\n"), F.col("body")).alias("text"))

@@ -19,7 +19,7 @@ def split_path(path: Column | str) -> Column:
     return F.when((F.size(parts) > 0) & ~F.arrays_overlap(parts, F.array(F.lit("."), F.lit(".."))), parts)
 
 
-#: Path grammars: section, pattern of the canonical key, soft limit.
+# Path grammars, as section, pattern of the canonical key, soft limit.
 GRAMMAR = (
     ("people", r"^people/@u[0-9a-f]{8}/(status|aka|personality|positive_to|negative_to)\.md$", 1800),
     ("people", r"^people/@u[0-9a-f]{8}/\d{4}\.md$", 1500),
@@ -53,6 +53,62 @@ def resolve(path: Column | str) -> Column:
     return F.struct(key.alias("key"), section.alias("section"), limit.alias("char_limit"), error.alias("error"))
 
 
+#: Operations that only prose takes, and those that bring a file about.
+PROSE, MAKES = ("write", "append", "edit"), ("touch", "write", "append")
+
+
+def is_typed(key: Column) -> Column:
+    """Typed records are set field by field, prose is written."""
+    return F.coalesce(key.endswith(".json"), F.lit(False))
+
+
+def shown(files: DataFrame, prompt: Column) -> DataFrame:
+    """Files (key, body) with `shown`: whether a prompt holds the whole body, so that a run knows the file."""
+    return files.withColumn("shown", F.coalesce((F.col("body") != "") & F.contains(prompt, F.col("body")), F.lit(False)))
+
+
+def checked(ops: DataFrame, files: DataFrame) -> DataFrame:
+    """Operations of a run (path, seq, op, overwrite, fields, old) with key and error; null: the operation holds.
+
+    files: (key, shown) of what is there before the run. A file is there from its first touch, write or append on; it is
+    known if the prompt shows it, once it was read, or since the run itself made it. So each verdict follows from what
+    came before on the same key, by one window."""
+    r = resolve("path")
+    o = ops.withColumn("r", r).withColumns({"key": F.col("r.key"), "bad": F.col("r.error")}).drop("r")
+    before = files.select(F.col("key").alias("file"), F.coalesce("shown", F.lit(False)).alias("shown"))
+    o = o.join(before, F.col("key") == F.col("file"), "left")
+    w = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    made = F.coalesce(F.max(F.col("op").isin(*MAKES)).over(w), F.lit(False))
+    read = F.coalesce(F.max(F.col("op") == "read").over(w), F.lit(False))
+    there = F.col("file").isNotNull() | made
+    known = F.coalesce("shown", F.lit(False)) | read | (F.col("file").isNull() & made)
+    op, typed = F.col("op"), is_typed(F.col("key"))
+    error = (
+        F.when(F.col("bad").isNotNull(), F.col("bad"))
+        .when(op.isin(*PROSE) & typed, "typed record: patch it")
+        .when((op == "patch") & ~typed, "prose: write, append or edit it")
+        .when((op == "patch") & (F.coalesce(F.col("fields"), F.lit(0)) == 0), "no fields")
+        .when(op.isin("touch") & there, "exists")
+        .when((op == "write") & there & ~F.coalesce(F.col("overwrite"), F.lit(False)), "exists")
+        .when((op == "edit") & ~there, "does not exist")
+        .when(op.isin(*PROSE) & there & ~known, "unseen: read it first")
+        .when((op == "edit") & (F.coalesce(F.col("old"), F.lit("")) == ""), "nothing to replace")
+    )
+    return o.withColumn("error", error).drop("bad", "file", "shown")
+
+
+def read(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """paths (path) with key and body: the empty text where there is no such file, null for a path that nothing owns."""
+    p = paths.withColumn("r", resolve("path")).withColumns({"key": F.when(F.col("r.error").isNull(), F.col("r.key"))}).drop("r")
+    f = files.select(F.col("key").alias("file"), F.col("body").alias("held"))
+    return p.join(f, F.col("key") == F.col("file"), "left").withColumn("body", F.when(F.col("key").isNotNull(), F.coalesce("held", F.lit("")))).drop("file", "held")
+
+
+def listed(files: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """Keys under a prefix, sorted."""
+    return files.filter(F.col(key).startswith(prefix)).select(key).orderBy(key)
+
+
 def bodies(log: DataFrame) -> DataFrame:
     """Key and body: what was written last, and what was appended since, joined by blank lines. A delete empties it."""
     w = W.partitionBy("key").orderBy("seq")

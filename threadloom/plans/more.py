@@ -65,11 +65,6 @@ def dt_termorder(spark, d):
     return days.select("d", F.substring(t, 1, 4).cast("long").alias("y"), F.when(t.endswith("spring"), 0).otherwise(1).alias("season"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS parts FROM (SELECT month FROM lve WHERE tier = 'day' GROUP BY month UNION ALL SELECT quarter FROM lve WHERE tier = 'month' GROUP BY quarter UNION ALL SELECT year FROM lve WHERE tier = 'quarter' GROUP BY year)", A.HISTORY, LIVE)
-def trg_consolidate(spark, d):
-    return history.plan(A.history(spark, d).filter(X.has_content("body"))).agg(F.count("*").alias("parts"))
-
-
 @query("SELECT d, max(x) AS boundary FROM dys, (SELECT CAST(y AS VARCHAR) || m AS x FROM range(1994, 2003) t(y), (VALUES ('-12-01'), ('-05-01')) v(m)) WHERE x > '1996-03-01' AND x <= d GROUP BY d", A.HISTORY)
 def trg_deadline(spark, d):
     days = A.read(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).distinct()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import identity, progress
@@ -54,23 +54,6 @@ def pending(atoms: DataFrame, done: DataFrame, sections: list[str]) -> DataFrame
     return s.withColumn("feed", progress.delta()).orderBy("section", "leaf_date", "leaf_id")
 
 
-def fire(now: str, days: DataFrame | None = None, gaps: DataFrame | None = None, oversized: DataFrame | None = None, launch: tuple[str, ...] = (), spark: SparkSession | None = None) -> DataFrame:
-    """All tasks that the state calls for: (name, target, priority, dedup_key)."""
-    parts = []
-    if oversized is not None:
-        parts.append(progress.overflow_tasks(oversized).select(F.lit("prune").alias("name"), "target", "priority", "dedup_key"))
-    if gaps is not None:
-        parts.append(gaps.select(F.lit("rollup").alias("name"), F.col("period").alias("target"), F.lit(50).cast("long").alias("priority"), F.concat(F.lit("rollup:"), F.col("period")).alias("dedup_key")))
-    if days is not None:
-        parts.append(days.filter(F.col("day") == now).select(F.lit("expire").alias("name"), F.col("rule").cast("string").alias("target"), F.lit(50).cast("long").alias("priority"), F.concat(F.lit("days:"), F.col("rule").cast("string"), F.lit(":"), F.col("day")).alias("dedup_key")))
-    if launch:
-        parts.append(spark.createDataFrame([(n, "", 10, f"launch:{n}") for n in launch], "name string, target string, priority long, dedup_key string"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def ingest(work: list, feed: Callable[[list], bool], first: int = FIRST_CHUNK) -> list[tuple[int, bool]]:
     """Feed work in chunks that adapt to what fits; a single item that does not fit counts as forced. (size, forced)"""
     out, at, size = [], 0, first
@@ -84,11 +67,26 @@ def ingest(work: list, feed: Callable[[list], bool], first: int = FIRST_CHUNK) -
     return out
 
 
-def write_report(blocks: DataFrame, messages: DataFrame, total: int, path: str) -> None:
-    """The report, the same with readable labels, and the vault in a folder of its own."""
-    report = assembled(blocks, total)
+def write_report(blocks: DataFrame, messages: DataFrame, total: int, path: str, in_report: list[str] | None = None, done: DataFrame | None = None) -> None:
+    """The report, the same with readable labels, the vault and (where given) the progress, in a folder each."""
+    people, known = identity.people(messages), identity.handles(messages)
+    unknown = identity.strangers(messages, known)
+    report = assembled(blocks, total, in_report=in_report)
     report.write.mode("overwrite").parquet(f"{path}/report")
-    people = identity.people(messages)
     named = report.select(F.monotonically_increasing_id().alias("id"), "text")
-    identity.humanised(named, identity.labels(people)).select("text").write.mode("overwrite").text(f"{path}/named")
-    identity.vault(people).write.mode("overwrite").json(f"{path}/vault")
+    identity.humanised(named, identity.readable(people, unknown)).select("text").write.mode("overwrite").text(f"{path}/named")
+    identity.vault(people, unknown).write.mode("overwrite").json(f"{path}/vault")
+    if done is not None:
+        done.write.mode("overwrite").json(f"{path}/progress")
+
+
+def passes(atoms: DataFrame, done: DataFrame, section, limit: int) -> list[str]:
+    """Groups of a section that have something pending, in the order in which one pass each takes them; limit: groups that
+    one call may plan, the rest follow in the next."""
+    todo = section.groups(pending(atoms, done, [section.name]))
+    return [r[0] for r in todo.groupBy("group").agg(F.min("leaf_date").alias("at")).orderBy("at", "group").limit(limit).collect()]
+
+
+def now_iso() -> Column:
+    """The time of the query in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import store
+from ..operators import chains, store
+from . import triggers
 
 
 @dataclass
@@ -25,7 +26,8 @@ class Rule:
     when: str
     name: str
     priority: int
-    build: Callable[[DataFrame], DataFrame] | None = None
+    #: From a context (see triggers) to tasks; without one, the rule is one task for the whole section.
+    build: Callable | None = None
 
 
 @dataclass
@@ -36,6 +38,11 @@ class Section:
     kinds: tuple[str, ...] | None = None
     rules: tuple[Rule, ...] = ()
 
+    def paths_doc(self) -> str:
+        """Which paths the section has, and how long a file of each may be."""
+        mine = [(pattern, limit) for name, pattern, limit in store.GRAMMAR if name == self.name]
+        return "\n".join([f"{self.name}:", *(f"- {pattern} ({limit} characters)" for pattern, limit in mine)])
+
     def owns(self, path: Column) -> Column:
         return F.coalesce(store.resolve(path)["section"] == self.name, F.lit(False))
 
@@ -77,9 +84,8 @@ class People(Section):
         return full.unionByName(folded.select(F.col("fold").alias("key"), F.lit("").alias("order_key"), F.concat(head, F.col("t")).alias("text")))
 
     def groups(self, atoms: DataFrame) -> DataFrame:
-        """An atom goes to each of its authors."""
-        who = F.array_distinct(F.transform("members", lambda m: X.person_key(m["sender_id"], m["sender_name"])))
-        return atoms.withColumn("group", F.explode(who))
+        """An atom goes to its last author, and to each real person that it mentions."""
+        return chains.by_person(atoms)
 
 
 class History(Section):
@@ -97,14 +103,14 @@ def register(name: str, factory: Callable[[dict], Section]) -> None:
 for _name, _kind, _rules in (
     ("people", People, (Rule("entry", "ingest", 100), Rule("finish", "relevance", 20))),
     ("world", Section, (Rule("entry", "ingest", 100),)),
-    ("history", History, (Rule("entry", "ingest", 100), Rule("days:90", "rollup", 50), Rule("finish", "consolidate", 20))),
+    ("history", History, (Rule("entry", "ingest", 100), Rule("days:90", "rollup", 50, triggers.rollups), Rule("finish", "consolidate", 20, triggers.rebuild))),
     ("key_facts", Section, (Rule("entry", "ingest", 100),)),
-    ("job_offers", Section, (Rule("entry", "ingest", 100), Rule("days:30", "expire", 50))),
+    ("job_offers", Section, (Rule("entry", "ingest", 100), Rule("days:30", "expire", 50, triggers.stale_offers))),
     ("companies", Section, (Rule("finish", "consolidate", 20),)),
     ("contacts", Section, (Rule("finish", "consolidate", 20),)),
     ("market", Section, (Rule("entry", "ingest", 100),)),
     ("shortlist", Section, (Rule("entry", "ingest", 99),)),
-    ("study", Section, (Rule("entry", "ingest", 100), Rule("deadline:12-01,05-01", "exam", 55))),
+    ("study", Section, (Rule("entry", "ingest", 100), Rule("deadline:12-01,05-01", "exam", 55, triggers.exams))),
     ("codebase", Section, (Rule("entry", "ingest", 100),)),
     ("insights", Section, (Rule("entry", "ingest", 100), Rule("finish", "synthesise", 20))),
 ):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import more, speech  # noqa: F401  they register their queries
+from .plans import filing, more, speech, storage  # noqa: F401  they register their queries
 from .plans import queries as plans
 
 

@@ -1,11 +1,13 @@
 """Message logs as JSON lines, chat headers, and the importer of chat exports.
 
-Writes use Spark's commit protocol: a rewrite replaces the log as a whole or not at all. One folder per chat, named by its
-slug, so that many chats load in one scan.
+A rewrite is written beside the log and takes its place once it is whole, so a rewrite that fails leaves the log as it was.
+One folder per chat, named by its slug, so that many chats load in one scan.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,33 @@ def append_log(messages: DataFrame, path: str) -> None:
 
 
 def rewrite_log(messages: DataFrame, path: str) -> None:
-    messages.write.mode("overwrite").json(path)
+    spark, path = messages.sparkSession, path.rstrip("/")
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    messages.write.json(new)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(path)):
+        fs.rename(hadoop(path), hadoop(old))
+    if not fs.rename(hadoop(new), hadoop(path)):
+        raise OSError(f"{new} is whole, but could not take the place of {path}")
+    fs.delete(hadoop(old), True)
+
+
+def reset_log(spark: SparkSession, path: str, media: str | None = None) -> None:
+    """An empty log; its media folder goes, too."""
+    rewrite_log(spark.createDataFrame([], MESSAGE), path)
+    if media:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(media)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def reset_log(spark: SparkSession, path: str) -> None:
-    rewrite_log(spark.createDataFrame([], MESSAGE), path)
+def profile(spark: SparkSession, paths: list[str | None], otherwise: str = "(no profile)") -> str:
+    """The first of some small text files that exists."""
+    for p in filter(None, paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return "\n".join(r[0] for r in spark.read.text(p, wholetext=True).collect()).strip()
+    return otherwise
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -55,9 +79,11 @@ KINDS = {"personal_chat": "user", "private_channel": "channel", "public_channel"
 MEDIA = {"voice_message": "voice", "video_file": "video"}
 
 
-def import_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Messages and chat header of a chat export: one JSON object with a list of messages of several shapes."""
-    doc = spark.read.format("json").option("singleVariantColumn", "v").option("multiLine", True).load(path)
+def import_export(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Messages and chat header of a chat export: one JSON object with a list of messages of several shapes.
+
+    lines: many exports, one per line."""
+    doc = spark.read.format("json").option("singleVariantColumn", "v").option("multiLine", not lines).load(path)
     one = F.explode(F.variant_get("v", "$.messages", "array<variant>")).alias("m")
     raw = doc.select(one)
 
