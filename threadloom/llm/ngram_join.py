@@ -53,6 +53,8 @@ FAN = 16
 LAYERS, MORE = 4, 8
 #: One document in so many is drawn to find keys that are met often, and how often that is.
 SAMPLE, OFTEN = 64, 16
+#: Parts of a key that is met often.
+PARTS = 64
 #: Edges that one task contracts.
 EDGES = 1_000_000
 #: Groups of a point at most.
@@ -302,26 +304,34 @@ def _node(g: np.ndarray) -> int:
     return int(_mix(g, 11).sum().view(np.int64)) if len(g) else 0
 
 
-_DESCRIBED = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("point", pa.binary())])
+_DESCRIBED = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary())])
+_KEYED = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _describe(rows: list, shingle: int, percent: int) -> list:
-    """rows: (id as text, text). Keys and point go to the first row of an id and set in a task; rows without an id have none."""
+def _first_in_task(rows: list, shingle: int):
+    """For each row (id as text, text) its set and node, and whether it has an id and is the first of this id and set in the task."""
     task = TaskContext.get()
     attempt = task.taskAttemptId() if task else -1
     if attempt not in _seen:
         _seen.clear()  # a worker runs one task at a time
     seen = _seen.setdefault(attempt, set())
-    cols: list[list] = [[] for _ in _DESCRIBED]
     for row in rows:
         g = shingles(row["text"], shingle)
         node = _node(g)
-        again = not len(g) or row["id"] is None or (row["id"], node) in seen
-        if not again:
+        first = len(g) > 0 and row["id"] is not None and (row["id"], node) not in seen
+        if first:
             seen.add((row["id"], node))
-        for c, v in zip(cols, (len(g), node, None if again else group_keys(g, percent), None if again else point(g))):
-            c.append(v)
-    return cols
+        yield g, node, first
+
+
+def _describe(rows: list, shingle: int) -> list:
+    """Size, node and (of first rows) point."""
+    return list(zip(*((len(g), node, point(g) if first else None) for g, node, first in _first_in_task(rows, shingle)))) or [[]] * 3
+
+
+def _keyed(rows: list, shingle: int, percent: int) -> list:
+    """Node and (of first rows) keys. Keys are many times a text's other traits: they are made where they are shuffled, and never kept."""
+    return list(zip(*((node, group_keys(g, percent) if first else None) for g, node, first in _first_in_task(rows, shingle)))) or [[]] * 2
 
 
 _SET = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
@@ -483,19 +493,17 @@ def _tiled(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return plain.unionByName(rows.drop("large").join(sides, ["key", "tile"]), allowMissingColumns=False)
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """(node, key, rep) of the keys that two nodes share; rep is the least node of the key.
+def _met(keys: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(node, key, rep, often) of the keys (key, node) that two nodes share; rep is the least node of the key, or of its
+    part. drawn: keys of one document in SAMPLE.
 
-    Most keys have one node, so a window over each is the cheapest way. Keys that a sample shows to have very many
-    are aggregated before they are shuffled, and their few results sent to the rows; which way a key goes changes no
-    result."""
-    drawn = keys.filter(F.pmod(F.xxhash64(F.lit("hot keys"), "node"), F.lit(SAMPLE)) == 0)
-    hot = small(keep(drawn.groupBy("key").count().filter(F.col("count") >= OFTEN).select("key")))
-    w = W.partitionBy("key")
-    cold = keys.join(hot, "key", "left_anti").withColumn("rep", F.min("node").over(w)).withColumn("top", F.max("node").over(w)).filter("rep < top").select("node", "key", "rep")
-    rows = keys.join(hot, "key")
-    reps = small(keep(rows.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").drop("top")))
-    return cold.unionByName(rows.join(reps, "key").select("node", "key", "rep"))
+    A window over each key finds them, in one pass. Keys that the sample shows to be met often are cut into PARTS first, so
+    that none of their rows waits for all others; a part may be one node. Which way a key goes loses no row."""
+    hot = keep(drawn.groupBy("key").count().filter(F.col("count") >= OFTEN).select("key", F.lit(True).alias("often")))
+    keys = keys.join(small(hot), "key", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    w = W.partitionBy("key", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0))
+    met = keys.withColumn("rep", F.min("node").over(w)).withColumn("top", F.max("node").over(w))
+    return met.filter("rep < top or often").select("node", "key", "rep", "often")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -503,19 +511,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     if not 67 <= percent <= 100 or shingle < 1:
         raise ValueError("percent must lie between 67 and 100, shingle be 1 or more")
     named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    describe = over_texts(lambda rows: _describe(rows, shingle, percent), _DESCRIBED)
-    d = keep(named.select("id", describe(F.struct(F.col("id").cast("string").alias("id"), "text")).alias("d")).select("id", "d.*"))
+    row = F.struct(F.col("id").cast("string").alias("id"), "text")
+    d = keep(named.select("id", over_texts(lambda rows: _describe(rows, shingle), _DESCRIBED)(row).alias("d")).select("id", "d.*"))
     have = d.filter("n > 0 and id is not null")
     sets = keep(have.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     # the least id of sets that several rows have; all other rows are the first of theirs
     many = small(keep(sets.filter("copies > 1").select("node", "first")))
     texts = Texts(named, sets, shingle, percent)
-    rep = have.filter("keys is not null").join(many, "node", "left").filter("first is null or first = id").select("node", "n", "keys", "point")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.join(many, "node", "left").filter("first is null or first = id")
+
+    rep = first(have.filter("point is not null")).select("node", "n", "point")
+    keyed = over_texts(lambda rows: _keyed(rows, shingle, percent), _KEYED)(row)
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return first(rows.select("id", keyed.alias("k")).select("id", "k.*").filter("keys is not null")).select("node", F.explode("keys").alias("key"))
+
     # an id of several sets connects them
     of = have.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").select("id", "a")
     links = keep(have.join(small(keep(of)), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
-    met = keep(_met(rep.select("node", F.explode("keys").alias("key"))))
-    star = keep(met.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
+    drawn = keys(named.filter(F.pmod(F.xxhash64(F.lit("hot keys"), F.col("id").cast("string")), F.lit(SAMPLE)) == 0))
+    met = keep(_met(keys(named), drawn))
+    star = met.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    reps = met.filter("often").select("key", "rep").distinct()  # the parts of a key that is met often meet, too
+    least = reps.groupBy("key").agg(F.min("rep").alias("a"))
+    star = keep(star.unionByName(reps.join(least, "key").filter("a <> rep").select("a", F.col("rep").alias("b"))).distinct())
     tested = star
     links = keep(links.unionByName(texts.verified(_bounded(star, rep, percent))))
     comp = components(links)
