@@ -501,7 +501,8 @@ def _met(keys: DataFrame, drawn: DataFrame) -> DataFrame:
     that none of their rows waits for all others; a part may be one node. Which way a key goes loses no row."""
     hot = keep(drawn.groupBy("key").count().filter(F.col("count") >= OFTEN).select("key", F.lit(True).alias("often")))
     keys = keys.join(small(hot), "key", "left").withColumn("often", F.coalesce("often", F.lit(False)))
-    w = W.partitionBy("key", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0))
+    keys = keys.withColumn("part", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0).cast("byte"))
+    w = W.partitionBy("key", "part")  # one column, so that both windows share a shuffle
     met = keys.withColumn("rep", F.min("node").over(w)).withColumn("top", F.max("node").over(w))
     return met.filter("rep < top or often").select("node", "key", "rep", "often")
 
