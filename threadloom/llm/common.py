@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -68,6 +69,13 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps. It does so once the driver's garbage is collected, which a driver
+    with little to do of its own may put off until disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables that keep() wrote."""
     for path in paths:

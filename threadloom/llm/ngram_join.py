@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, keep, over_texts, small
+from .common import fresh, keep, over_texts, small, tidy
 
 #: Words of a shingle, and the similarity from which documents link, unless a caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -534,6 +534,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     links = keep(have.join(small(keep(of)), "id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
     drawn = keys(named.filter(F.pmod(F.xxhash64(F.lit("hot keys"), F.col("id").cast("string")), F.lit(SAMPLE)) == 0))
     met = keep(_met(keys(named), drawn))
+    tidy(docs.sparkSession)
     star = met.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     reps = met.filter("often").select("key", "rep").distinct()  # the parts of a key that is met often meet, too
     least = reps.groupBy("key").agg(F.min("rep").alias("a"))
@@ -541,6 +542,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     tested = star
     links = keep(links.unionByName(texts.verified(_bounded(star, rep, percent))))
     comp = components(links)
+    tidy(docs.sparkSession)
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(small(comp), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -552,12 +554,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     hot = small(keep(one.filter(F.col("size") > TILE).select("key")))
     held = met.join(small(one.select("key")), "key").groupBy("node").agg(F.collect_set("key").alias("keys"))
     members = keep(held.join(rep.select("node", "n", "point"), "node").dropDuplicates(["node"]))
+    tidy(docs.sparkSession)
     layers, again = LAYERS, None
     while not members.isEmpty():
         rows = placed(members).withColumn("key", F.explode("keys"))
         if again is not None:
             rows = rows.join(again, "key", "left_semi")
         found = keep(_search(_tiled(rows, hot), layers, percent))
+        tidy(docs.sparkSession)
         pairs = keep(found.filter("a is not null").select("a", "b").distinct().join(small(tested), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             links = keep(links.unionByName(texts.verified(pairs)))
