@@ -50,7 +50,10 @@ TILE = 2048
 #: Entries of a tree node.
 FAN = 16
 #: Spanning forests of candidates that a tree returns in the first round, and how much more in each further one.
-LAYERS, MORE = 4, 8
+LAYERS, MORE = 8, 8
+#: Keys of a document that go with each of its rows, the least ones: a pair whose least shared key is none of these is looked
+#: at under several keys, and counts once all the same.
+LEAST = 32
 #: One document in so many is drawn to find keys that are met often, and how often that is.
 SAMPLE, OFTEN = 64, 16
 #: Parts of a key that is met often.
@@ -256,41 +259,40 @@ class Forests:
     """Up to `layers` spanning forests of candidates over the components of a tree; `whole` is false once a pair fits in none."""
 
     def __init__(self, component: np.ndarray, layers: int):
-        self.component, self.whole, self.a, self.b = component, True, [], []
-        n = int(component.max(initial=-1)) + 1
-        self.root = [np.arange(n) for _ in range(layers)]
-        self.edges: list[list[tuple[int, int]]] = [[] for _ in range(layers)]
+        self.component, self.layers, self.whole = component, layers, True
+        self.size = int(component.max(initial=-1)) + 1
+        self.root: list[np.ndarray] = []
+        self.found: list[np.ndarray] = []
 
     def add(self, pairs: np.ndarray) -> None:
-        x, y = self.component[pairs[:, 0]], self.component[pairs[:, 1]]
-        for k, root in enumerate(self.root):
-            left = np.zeros(len(pairs), bool)
-            parent: dict[int, int] = {}
-
-            def find(i: int) -> int:
-                while parent.get(i, i) != i:
-                    parent[i] = parent.get(parent[i], parent[i])
-                    i = parent[i]
-                return i
-
-            apart = root[x] != root[y]
-            left[~apart] = True
-            for i in np.flatnonzero(apart).tolist():
-                u, v = find(int(root[x[i]])), find(int(root[y[i]]))
-                if u == v:
-                    left[i] = True
-                    continue
-                parent[max(u, v)] = min(u, v)
-                self.edges[k].append((int(x[i]), int(y[i])))
-                self.a.append(int(pairs[i, 0]))
-                self.b.append(int(pairs[i, 1]))
-            if parent:
-                e = np.array(self.edges[k])
-                self.root[k] = roots(e[:, 0], e[:, 1], len(root))
-            pairs, x, y = pairs[left], x[left], y[left]
+        """Each layer takes the pairs that connect what it has not connected yet, and leaves the others to the next."""
+        for k in range(self.layers):
             if not len(pairs):
                 return
-        self.whole = False
+            if k == len(self.root):
+                self.root.append(np.arange(self.size))
+            x, y = self.component[pairs[:, 0]], self.component[pairs[:, 1]]
+            root, rest, taken = self.root[k], np.arange(len(pairs)), np.zeros(len(pairs), bool)
+            while True:
+                u, v = root[x[rest]], root[y[rest]]
+                apart = u != v
+                rest, u, v = rest[apart], u[apart], v[apart]
+                if not len(rest):
+                    break
+                # every part takes its first pair: as no two pairs are equally early, these close no circle
+                first = np.full(self.size, len(rest))
+                np.minimum.at(first, u, np.arange(len(rest)))
+                np.minimum.at(first, v, np.arange(len(rest)))
+                some = np.unique(first[first < len(rest)])
+                taken[rest[some]] = True
+                root = roots(u[some], v[some], self.size)[root]
+            self.root[k] = root
+            self.found.append(pairs[taken])
+            pairs = pairs[~taken]
+        self.whole = self.whole and not len(pairs)
+
+    def pairs(self) -> np.ndarray:
+        return np.concatenate([np.zeros((0, 2), np.int64), *self.found])
 
 
 def linked(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
@@ -461,7 +463,8 @@ def _search(rows: DataFrame, layers: int, percent: int) -> DataFrame:
                 if bits is None:
                     bits = lesser_keys(key, pa.concat_arrays(t.column("keys").chunks))
                 forests.add(found[~common_bits(bits, found[:, 0], found[:, 1])])
-            a, b = node[forests.a], node[forests.b]
+            found = forests.pairs()
+            a, b = node[found[:, 0]], node[found[:, 1]]
             low, high = np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
             if not forests.whole:
                 low, high = [*low, None], [*high, None]
@@ -552,12 +555,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     g = placed(met).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("same"))
     one = keep(g.filter("low < high").groupBy("size", "same").agg(F.min("key").alias("key")))
     hot = small(keep(one.filter(F.col("size") > TILE).select("key")))
-    held = met.join(small(one.select("key")), "key").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    held = met.join(small(one.select("key")), "key").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).withColumn("least", F.slice("keys", 1, LEAST))
     members = keep(held.join(rep.select("node", "n", "point"), "node").dropDuplicates(["node"]))
     tidy(docs.sparkSession)
     layers, again = LAYERS, None
     while not members.isEmpty():
-        rows = placed(members).withColumn("key", F.explode("keys"))
+        rows = placed(members).withColumn("key", F.explode("keys")).drop("keys").withColumnRenamed("least", "keys")
         if again is not None:
             rows = rows.join(again, "key", "left_semi")
         found = keep(_search(_tiled(rows, hot), layers, percent))
