@@ -62,7 +62,8 @@ PARTS = 64
 EDGES = 1_000_000
 #: Groups of a point at most.
 GROUPS = 512
-MEMORY = 200_000
+#: Words whose hash a Python worker remembers.
+MEMORY = 60_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _B, _C = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
