@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from threadloom.llm import language_id, license_scan, mixing, ngram_join, packing, quality_rules, queries, sharding, textstats, toxicity, webp
+from threadloom.llm import common, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, queries, sharding, textstats, toxicity, webp
 
 SF = "/root/testdata/sf0.001"
 DOCS = f"'{SF}/documents.parquet'"
@@ -406,3 +407,85 @@ def test_bounded_loads_move_few(spark):
     n = Counter(r["shard"] for r in got)
     assert max(n.values()) - min(n.values()) <= 1
     assert np.mean([r["shard"] != r["first_shard"] for r in got]) < 0.4
+
+
+# ---- the methods by their definitions
+
+
+def test_mix_takes_the_prefix_of_the_pareto_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = docs.select(F.col("doc_id").alias("k"), F.col("source").alias("s"), mixing.word_count("text").alias("size"), F.col("text").alias("t"))
+    got = mixing.Mix(common.keep(mixing.told_apart(parts))).drawn.collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["s"], []).append(r)
+    for rows_ in by.values():
+        gap = rows_[0]["target"] - sum(r["certain"] * r["size"] for r in rows_)
+        run, ranked = 0, sorted((r for r in rows_ if r["step"] is not None), key=lambda r: r["odds"])
+        for r in ranked:
+            run += r["size"]
+            if run > gap + 1e-6:
+                break
+            assert r["drawn"] == 1
+        left = gap - sum(r["size"] for r in ranked if r["drawn"])
+        assert left >= -max([0, *(r["size"] for r in ranked)]) and not any(abs(left - r["size"]) < left - 1e-6 for r in ranked if not r["drawn"])
+
+
+def test_discriminant_by_direct_densities():
+    r = np.random.default_rng(4)
+    k = quality_classifier.DIM
+    x = [r.normal(size=(300, k)) @ r.normal(size=(k, k)) * 0.3 + c for c in (0.0, 0.5)]
+    m = quality_classifier.solve(np.array([300.0, 300.0]), np.array([a.sum(0) for a in x]), np.array([a.T @ a for a in x]))
+    test = r.normal(size=(20, k))
+    ll = []
+    for c in (0, 1):
+        own, pooled = (np.cov(a.T, bias=True) for a in (x[c], np.concatenate([a - a.mean(0) for a in x])))
+        w = max(quality_classifier.POOL, k / (k + 300))
+        v = (1 - w) * own + w * pooled
+        v = (1 - quality_classifier.SPHERE) * v + quality_classifier.SPHERE * np.trace(v) / k * np.eye(k) + 1e-4 * np.eye(k)
+        d = test - m.mean[c]
+        ll.append(m.log_prior[c] - 0.5 * (np.einsum("ni,ni->n", d, np.linalg.solve(v, d.T).T) + np.linalg.slogdet(v)[1]))
+    want = 1 / (1 + np.exp((ll[0] - ll[1]) / quality_classifier.TEMPER))
+    assert np.allclose(m.scores(test), want, atol=1e-8)
+
+
+def test_decoding_by_enumeration():
+    r = np.random.default_rng(2)
+    for n in (2, 3, 9):
+        code = language_id.codewords(n)
+        m = language_id.Model([f"l{k}" for k in range(n)], code, r.normal(size=(language_id.WIDTH, code.shape[1])).astype(np.float32), r.normal(size=code.shape[1]), r.random(code.shape))
+        x = r.random((3, language_id.WIDTH)).astype(np.float32) / 100
+        for row, got in zip(x, m.decode(x)):
+            margin = [float(row @ m.weight[:, b] + m.bias[b]) for b in range(code.shape[1])]
+            want = [sum(m.trust[k, b] * np.log1p(np.exp(-4 * code[k, b] * margin[b])) for b in range(code.shape[1])) for k in range(n)]
+            assert np.allclose(got, want, atol=1e-4)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=12, max_size=12), st.integers(2, 5))
+def test_ring_walk_key_by_key(counts, shards):
+    owner = [k % shards for k in range(12)]
+    room = sharding.bounds(sum(counts), shards)
+    left, used, want = list(room), [0] * shards, {}
+    moving = [[(a, rank) for rank in range(n)] for a, n in enumerate(counts)]
+    while any(moving):
+        after = [[] for _ in moving]
+        for at, keys in enumerate(moving):
+            for key in keys:
+                if left[owner[at]]:
+                    left[owner[at]] -= 1
+                    want[key] = (owner[at], used[owner[at]])
+                    used[owner[at]] += 1
+                else:
+                    after[(at + 1) % 12].append(key)
+        moving = after
+    got = {(arc, rank + i): (s, slot + i) for arc, rank, s, slot, n in sharding.walk(counts, owner, room) for i in range(n)}
+    assert got == want
+
+
+def test_one_more_shard_takes_keys_only_into_itself():
+    digest = lambda k: zlib.crc32(str(k).encode()) % sharding.RING
+    old, new = (sharding.ring(n) for n in (16, 17))
+    before, after = ([sharding.lookup(k, *r, digest) for k in range(20_000)] for r in (old, new))
+    moved = [b for a, b in zip(before, after) if a != b]
+    assert set(moved) == {16} and 0.03 < len(moved) / 20_000 < 0.09
