@@ -76,8 +76,10 @@ def roots(messages: DataFrame) -> DataFrame:
     return up.select("id", F.when(F.col("done"), F.col("to")).alias("own")).join(found, "id", "left").select("id", F.coalesce("own", "root").alias("root"))
 
 
-def with_root(messages: DataFrame) -> DataFrame:
-    return messages.join(roots(messages).withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
+def with_root(messages: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Messages with their root. links: the same messages before costly columns were made of them, for the chains alone."""
+    found = roots(messages if links is None else links)
+    return messages.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
 
 
 #: What an atom keeps of its members; the last four only where messages have them (see `described`).

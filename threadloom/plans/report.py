@@ -16,7 +16,7 @@ def batched(messages: DataFrame, chat: Column, capacity: int, per: Sequence[str]
     """Messages to sanitised atoms to batches: per chat and batch its atoms, their tokens and the first of them. per: the
     columns by which people are known (see identity.sanitised)."""
     told = identity.sanitised(chains.described(messages), per)
-    a = rendering.atom_text(chains.atoms(chains.with_root(told)))
+    a = rendering.atom_text(chains.atoms(chains.with_root(told, messages.select("id", "reply_to", "post_id"))))
     a = a.select(chat.alias("chat"), "root", "leaf_date", "leaf_id", X.tokens("content").alias("cost"))
     a = a.withColumn("seq", F.row_number().over(W.partitionBy("chat").orderBy("leaf_date", "leaf_id")).cast("long"))
     packed = chains.batches(a.select("chat", "seq", "cost"), capacity, ["chat"])

@@ -19,7 +19,7 @@ def told(spark, d) -> DataFrame:
 
 
 def atoms(spark, d) -> DataFrame:
-    return chains.atoms(chains.with_root(told(spark, d)))
+    return chains.atoms(chains.with_root(told(spark, d), A.conversations(spark, d)))
 
 
 HEAD = "'[' || substr(date,12,5) || '] ' || who || ':' || CASE WHEN clean <> '' THEN ' ' || clean ELSE '' END"
