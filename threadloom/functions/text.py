@@ -23,14 +23,22 @@ def digest(seed: Column) -> Column:
     return F.substring(F.sha2(seed, 256), 1, 8)
 
 
+def person_seed(sender_id: Column | str, name: Column | str) -> Column:
+    """What tells people apart: the id, or the name where there is no id ("unknown" where there is neither)."""
+    return F.when(col(sender_id).isNotNull(), F.concat(F.lit("id:"), col(sender_id).cast("string"))).otherwise(F.concat(F.lit("name:"), F.lower(F.trim(F.coalesce(F.nullif(col(name), F.lit("")), F.lit("unknown"))))))
+
+
+def key_of(seed: Column | str) -> Column:
+    return F.concat(F.lit("@u"), digest(col(seed)))
+
+
 def person_key(sender_id: Column | str, name: Column | str) -> Column:
-    """A person's pseudonym: from the id, or from the name where there is no id ("unknown" where there is neither)."""
-    seed = F.when(col(sender_id).isNotNull(), F.concat(F.lit("id:"), col(sender_id).cast("string"))).otherwise(F.concat(F.lit("name:"), F.lower(F.trim(F.coalesce(F.nullif(col(name), F.lit("")), F.lit("unknown"))))))
-    return F.concat(F.lit("@u"), digest(seed))
+    """A person's pseudonym. It is 32 bits of a digest: of a million people, about a hundred pairs share theirs."""
+    return key_of(person_seed(sender_id, name))
 
 
 def mention_key(handle: Column) -> Column:
-    return F.concat(F.lit("@u"), digest(F.concat(F.lit("mention:"), F.lower(handle))))
+    return key_of(F.concat(F.lit("mention:"), F.lower(handle)))
 
 
 def slugify(name: Column | str) -> Column:

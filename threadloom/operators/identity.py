@@ -19,33 +19,36 @@ LOG = "log_of_all"
 
 
 def seen(messages: DataFrame, per: Sequence[str] = ()) -> DataFrame:
-    """(per..., key, sender_id, name, handle, at, spoke): who sends a message, and the real people that it mentions."""
+    """(per..., person, sender_id, name, handle, at, spoke): who sends a message, and the real people that it mentions."""
     m = messages if "sender_username" in messages.columns else messages.withColumn("sender_username", F.lit(None).cast("string"))
-    out = m.select(*per, X.person_key("sender_id", "sender_name").alias("key"), "sender_id", F.col("sender_name").alias("name"), F.col("sender_username").alias("handle"), F.struct("date", "id", F.lit(0).alias("place")).alias("at"), F.lit(1).alias("spoke"))
+    out = m.select(*per, X.person_seed("sender_id", "sender_name").alias("person"), "sender_id", F.col("sender_name").alias("name"), F.col("sender_username").alias("handle"), F.struct("date", "id", F.lit(0).alias("place")).alias("at"), F.lit(1).alias("spoke"))
     if "mentions" in messages.columns:
         each = messages.select(*per, "date", "id", F.posexplode("mentions").alias("place", "x")).filter("x.real and x.user_id is not null")
-        out = out.unionByName(each.select(*per, X.person_key("x.user_id", "x.name").alias("key"), F.col("x.user_id").alias("sender_id"), "x.name", "x.handle", F.struct("date", "id", (F.col("place") + 1).alias("place")).alias("at"), F.lit(0).alias("spoke")))
+        out = out.unionByName(each.select(*per, X.person_seed("x.user_id", "x.name").alias("person"), F.col("x.user_id").alias("sender_id"), "x.name", "x.handle", F.struct("date", "id", (F.col("place") + 1).alias("place")).alias("at"), F.lit(0).alias("spoke")))
     return out.withColumn("handle", F.nullif(F.regexp_replace("handle", "^@+", ""), F.lit("")))
 
 
 def people(messages: DataFrame, per: Sequence[str] = ()) -> DataFrame:
-    """A row per person (of each chat, by the columns per): key, sender_id, names and usernames in order of first sight,
-    whether an id stands behind it, and the number of messages. People who are only mentioned have rows, too."""
+    """A row per person (of each chat, by the columns per): person (what tells them apart), key, sender_id, names and
+    usernames in order of first sight, whether an id stands behind it, and the number of messages. People who are only
+    mentioned have rows, too. Keys are short: two people may share one, and still have a row each."""
     s = seen(messages, per)
     said = F.explode(F.array(F.struct(F.lit("name").alias("what"), F.nullif(F.col("name"), F.lit("")).alias("value"), F.col("spoke").alias("n")), F.struct(F.lit("handle").alias("what"), F.col("handle").alias("value"), F.lit(0).alias("n"))))
-    one = s.select(*per, "key", "sender_id", "at", said.alias("x")).groupBy(*per, "key", "x.what", "x.value").agg(F.min("at").alias("at"), F.min("sender_id").alias("sid"), F.sum("x.n").alias("n"))
+    one = s.select(*per, "person", "sender_id", "at", said.alias("x")).groupBy(*per, "person", "x.what", "x.value").agg(F.min("at").alias("at"), F.min("sender_id").alias("sid"), F.sum("x.n").alias("n"))
 
     def listed(what: str) -> Column:
         mine = F.collect_list(F.when((F.col("what") == what) & F.col("value").isNotNull(), F.struct("at", "value")))
         return F.transform(F.array_sort(mine), lambda v: v["value"])
 
-    return one.groupBy(*per, "key").agg(F.min("sid").alias("sender_id"), listed("name").alias("names"), listed("handle").alias("usernames"), F.min("sid").isNotNull().alias("grounded"), F.sum("n").alias("n_messages"))
+    out = one.groupBy(*per, "person").agg(F.min("sid").alias("sender_id"), listed("name").alias("names"), listed("handle").alias("usernames"), F.min("sid").isNotNull().alias("grounded"), F.sum("n").alias("n_messages"))
+    return out.select(*per, "person", X.key_of("person").alias("key"), "sender_id", "names", "usernames", "grounded", "n_messages")
 
 
 def handles(messages: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """(per..., handle, key) of known people; of a handle that changed hands, the last holder."""
     s = seen(messages, per).filter("handle is not null")
-    return s.groupBy(*per, F.lower("handle").alias("handle")).agg(F.max_by("key", "at").alias("key"))
+    last = s.groupBy(*per, F.lower("handle").alias("handle")).agg(F.max_by("person", "at").alias("person"))
+    return last.select(*per, "handle", X.key_of("person").alias("key"))
 
 
 def strangers(messages: DataFrame, known: DataFrame, per: Sequence[str] = ()) -> DataFrame:
@@ -55,13 +58,23 @@ def strangers(messages: DataFrame, known: DataFrame, per: Sequence[str] = ()) ->
     return said.groupBy(X.mention_key(F.col("handle")).alias("key")).agg(F.min_by("said", F.struct("date", "id")).alias("handle"))
 
 
-def labels(persons: DataFrame) -> DataFrame:
-    """key and a readable handle from the first name; a second one of the same gets a part of its key."""
+def _base() -> Column:
+    """A readable handle from the first name."""
     slug = F.regexp_replace(F.lower(F.trim(F.coalesce(F.get("names", F.lit(0)), F.lit("")))), r"(?U)\W+", "")
-    base = F.when(slug == "", F.col("key")).otherwise(F.concat(F.lit("@"), slug))
-    p = persons.select("key", base.alias("base"))
-    w = W.partitionBy("base").orderBy("key")
-    return p.select("key", F.when(F.row_number().over(w) == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.substring("key", 3, 4))).alias("label"))
+    return F.when(slug == "", F.col("key")).otherwise(F.concat(F.lit("@"), slug))
+
+
+def _label(*order: str) -> Column:
+    """Of rows of one base, the first by order is called by it, the others by it and a part of their key."""
+    w = W.partitionBy("base").orderBy(*order)
+    return F.when(F.row_number().over(w) == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.substring("key", 3, 4)))
+
+
+def labels(persons: DataFrame) -> DataFrame:
+    """key and a readable handle from the first name; a second one of the same gets a part of its key. People of one key have
+    a row for each of their first names."""
+    p = persons.select("key", _base().alias("base")).distinct()
+    return p.select("key", _label("key").alias("label"))
 
 
 def lookups(messages: DataFrame, pattern: str, group: int, table: DataFrame, key: str, value: str, lower: bool = False) -> DataFrame:
@@ -120,8 +133,8 @@ def humanised(texts: DataFrame, label: DataFrame) -> DataFrame:
 
 def vault(persons: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
     """Key, label and what stands behind it, for restricted storage; handles of strangers have rows of their own, unless
-    their key is a person's."""
-    out = persons.join(labels(persons), "key").select("key", "label", "sender_id", "names", "usernames", "grounded", F.lit(False).alias("mention_only"))
+    their key is a person's. A key that several people share has a row for each of them."""
+    out = persons.withColumn("base", _base()).select("key", _label("key", "person").alias("label"), "sender_id", "names", "usernames", "grounded", F.lit(False).alias("mention_only"))
     if unknown is not None:
         at = F.concat(F.lit("@"), "handle")
         more = unknown.join(persons.select("key"), "key", "left_anti").select("key", at.alias("label"), F.lit(None).cast("long").alias("sender_id"), F.array(at).alias("names"), F.array().cast("array<string>").alias("usernames"), F.lit(False).alias("grounded"), F.lit(True).alias("mention_only"))

@@ -93,7 +93,7 @@ id_build_sql = "SELECT '@u' || left(sha256(CASE WHEN sender_id % 5 = 0 THEN 'nam
 @query(id_build_sql, A.CONVERSATIONS)
 def id_keys(spark, d):
     m = A.conversations(spark, d).withColumn("sender_id", F.when(F.col("sender_id") % 5 != 0, F.col("sender_id")))
-    return identity.people(m).select("key")
+    return identity.people(m).select("key").distinct()
 
 
 @query("SELECT CAST(count(DISTINCT lower(trim(sender_name))) AS BIGINT) AS ungrounded FROM conv WHERE sender_id % 5 = 0", A.CONVERSATIONS)

@@ -41,7 +41,7 @@ def flt_named(spark, d):
 @query("SELECT chat, key, min(sender_id) AS sender_id, min(name) AS name, min(username) AS username FROM per GROUP BY chat, key", A.TALK)
 def id_build(spark, d):
     p = identity.people(A.talk(spark, d), CHAT)
-    return p.select("chat", "key", "sender_id", F.get("names", F.lit(0)).alias("name"), F.get("usernames", F.lit(0)).alias("username"))
+    return p.groupBy("chat", "key").agg(F.min("sender_id").alias("sender_id"), F.min(F.get("names", F.lit(0))).alias("name"), F.min(F.get("usernames", F.lit(0))).alias("username"))
 
 
 @query("SELECT id, clean AS text, slot FROM san", A.TALK)
