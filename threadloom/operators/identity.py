@@ -55,7 +55,8 @@ def strangers(messages: DataFrame, known: DataFrame, per: Sequence[str] = ()) ->
     """(key, handle) of handles in texts that belong to nobody known; of two spellings, the one that comes first."""
     said = messages.select(*per, "date", "id", F.explode(F.regexp_extract_all("text", F.lit(X.MENTION), F.lit(1))).alias("said")).withColumn("handle", F.lower("said"))
     said = said.filter(~F.col("handle").isin(*X.GROUP_TOKENS)).join(known, [*per, "handle"], "left_anti")
-    return said.groupBy(X.mention_key(F.col("handle")).alias("key")).agg(F.min_by("said", F.struct("date", "id")).alias("handle"))
+    first = said.groupBy("handle").agg(F.min_by("said", F.struct("date", "id")).alias("said"))
+    return first.select(X.mention_key(F.col("handle")).alias("key"), F.col("said").alias("handle"))
 
 
 def _base() -> Column:
@@ -132,12 +133,12 @@ def humanised(texts: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def vault(persons: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
-    """Key, label and what stands behind it, for restricted storage; handles of strangers have rows of their own, unless
-    their key is a person's. A key that several people share has a row for each of them."""
+    """Key, label and what stands behind it, for restricted storage; handles of strangers have rows of their own. A key that
+    several share has a row for each of them."""
     out = persons.withColumn("base", _base()).select("key", _label("key", "person").alias("label"), "sender_id", "names", "usernames", "grounded", F.lit(False).alias("mention_only"))
     if unknown is not None:
         at = F.concat(F.lit("@"), "handle")
-        more = unknown.join(persons.select("key"), "key", "left_anti").select("key", at.alias("label"), F.lit(None).cast("long").alias("sender_id"), F.array(at).alias("names"), F.array().cast("array<string>").alias("usernames"), F.lit(False).alias("grounded"), F.lit(True).alias("mention_only"))
+        more = unknown.select("key", at.alias("label"), F.lit(None).cast("long").alias("sender_id"), F.array(at).alias("names"), F.array().cast("array<string>").alias("usernames"), F.lit(False).alias("grounded"), F.lit(True).alias("mention_only"))
         out = out.unionByName(more)
     return out.orderBy("key")
 
